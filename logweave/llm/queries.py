@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from logweave.llm.labelled import held_out_by_crc
 from logweave.llm.quality import score_quality, train_quality
 from logweave.llm.toxicity import score_toxicity, train_toxicity
+from logweave.llm.warc import read_records, write_archive
+from logweave.plans.scratch import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -42,3 +44,22 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train_toxicity(docs, table(spark, sf_dir, "labels"), _held(4, 2))
     return score_toxicity(docs, model).select("doc_id", _held(4, 2)(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write a record for every page into a content-addressed archive and read the archive back."""
+    path = new_path(spark, "warc")
+    write_archive(table(spark, sf_dir, "pages"), path)
+    return read_records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL["op10_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
