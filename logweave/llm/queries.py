@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm.labelled import held_out_by_crc
+from logweave.llm.minhash import near_duplicates
 from logweave.llm.quality import score_quality, train_quality
 from logweave.llm.toxicity import score_toxicity, train_toxicity
 from logweave.llm.warc import read_records, write_archive
@@ -63,3 +64,9 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
 FROM f
 """
+
+
+@query
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by 4-word shingles at a Jaccard similarity of 0.8."""
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
