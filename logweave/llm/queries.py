@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.llm.additive import build_index, search
 from logweave.llm.labelled import held_out_by_crc
 from logweave.llm.minhash import near_duplicates
 from logweave.llm.quality import score_quality, train_quality
@@ -70,3 +71,9 @@ FROM f
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked by 4-word shingles at a Jaccard similarity of 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+@query
+def op1_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every vector whose id is divisible by 20."""
+    return search(build_index(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0, k=20)
