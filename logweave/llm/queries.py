@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm.additive import build_index, search
 from logweave.llm.labelled import held_out_by_crc
+from logweave.llm.licenses import scan_licenses
 from logweave.llm.minhash import near_duplicates
+from logweave.llm.packing import pack
 from logweave.llm.quality import score_quality, train_quality
 from logweave.llm.toxicity import score_toxicity, train_toxicity
 from logweave.llm.warc import read_records, write_archive
@@ -77,3 +80,19 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 largest inner products of every vector whose id is divisible by 20."""
     return search(build_index(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of at most 2048 tokens, by its pieces."""
+    json, ranks = (public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken"))
+    return pack(table(spark, sf_dir, "documents"), json, ranks, size=2048, end_id=1, with_tokens=False)
+
+
+@query
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License of every document, taken as the file source/lang/doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    found = scan_licenses(docs.select(path.alias("path"), "text"))
+    return found.select(F.regexp_extract("path", r"([^/]*)$", 1).cast("long").alias("doc_id"), "path", "license", "score", "origin", "license_path")
