@@ -14,6 +14,7 @@ from logweave.llm.licenses import scan_licenses
 from logweave.llm.minhash import near_duplicates
 from logweave.llm.packing import pack
 from logweave.llm.quality import score_quality, train_quality
+from logweave.llm.suffix_dedup import remove_repeats
 from logweave.llm.toxicity import score_toxicity, train_toxicity
 from logweave.llm.warc import read_records, write_archive
 from logweave.plans.scratch import new_path
@@ -96,3 +97,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
     found = scan_licenses(docs.select(path.alias("path"), "text"))
     return found.select(F.regexp_extract("path", r"([^/]*)$", 1).cast("long").alias("doc_id"), "path", "license", "score", "origin", "license_path")
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 100-byte strings that also start earlier."""
+    out = remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
