@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from logweave.llm.additive import build_index, search
 from logweave.llm.labelled import held_out_by_crc
 from logweave.llm.licenses import scan_licenses
+from logweave.llm.lm_scoring import score_documents
 from logweave.llm.minhash import near_duplicates
 from logweave.llm.packing import pack
 from logweave.llm.quality import score_quality, train_quality
@@ -104,3 +105,9 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of 100-byte strings that also start earlier."""
     out = remove_repeats(table(spark, sf_dir, "documents"), length=100)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op6_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 likelihood of every document; rows with crc32(doc_id) mod 7 = 2 are never learnt from."""
+    return score_documents(table(spark, sf_dir, "documents"), _held(7, 2)(F.col("doc_id")))
