@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm.additive import build_index, search
+from logweave.llm.decontaminate import find_leaks
 from logweave.llm.labelled import held_out_by_crc
 from logweave.llm.licenses import scan_licenses
 from logweave.llm.lm_scoring import score_documents
@@ -111,3 +112,9 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 likelihood of every document; rows with crc32(doc_id) mod 7 = 2 are never learnt from."""
     return score_documents(table(spark, sf_dir, "documents"), _held(7, 2)(F.col("doc_id")))
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark, copied or paraphrased."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
