@@ -30,13 +30,15 @@ _SHAPE[128:] = 4
 @dataclass(frozen=True)
 class FeatureSpec:
     """bits: log2 of the hashed space; words, shapes: longest n-gram of each family
-    (0: none); presence: 1 for each n-gram present, else the square root of its
-    share of the row's n-grams, so that a family's squares sum to 1."""
+    (0: none); prefixes: lengths in bytes of word beginnings that are features too;
+    presence: 1 for each feature present, else the square root of its share of the
+    row's n-grams, so that a family's squares sum to 1."""
 
     bits: int = 18
     words: int = 2
     shapes: int = 2
     presence: bool = False
+    prefixes: tuple[int, ...] = ()
 
 
 def _grams(hashes: np.ndarray, first: np.ndarray, n: int, salt: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +79,13 @@ def sparse_rows(buf: np.ndarray, offsets: np.ndarray, spec: FeatureSpec) -> tupl
         spaced = np.where(_NOT_WORD[buf], np.uint8(32), buf)
         w = tk.Words(spaced, offsets)
         parts += [_grams(w.hashes, w.first, n, f"w{n}", spec.bits) for n in range(1, spec.words + 1)]
+        for n in spec.prefixes:
+            rows = np.repeat(np.arange(len(offsets) - 1), np.diff(w.first))
+            long = np.flatnonzero(w.ends - w.starts >= n)
+            h = np.full(len(long), zlib.crc32(f"p{n}".encode()), np.uint64)
+            for j in range(n):
+                h = (h + tk._BYTE[w.buf[w.starts[long] + j]]) * tk._M1
+            parts.append((rows[long], (tk.mix(h) >> np.uint64(64 - spec.bits)).astype(np.int64)))
     if spec.shapes:
         w = tk.Words(buf, offsets, hashed=False, lower=False)
         h = _shape_hashes(w, buf)
