@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.operators.resolve import resolve
+from logweave.plans.scratch import written
 
 
 def coalesce_families(cells: DataFrame) -> DataFrame:
@@ -61,6 +62,6 @@ def deadlocks(waits: DataFrame, hops: int = 20) -> DataFrame:
     steps = 1
     while steps < hops:
         further = reach.alias("a").join(reach.alias("b"), F.col("a.at") == F.col("b.start")).select(F.col("a.start").alias("start"), F.col("b.at").alias("at"))
-        reach = reach.union(further).distinct()
+        reach = written(reach.union(further).distinct(), "reach")
         steps *= 2
     return reach.where("start = at").select(F.col("start").alias("txn")).distinct()

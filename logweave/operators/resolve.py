@@ -7,10 +7,12 @@ aggregates and joins, so that a key with very many versions is not one task's wo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.operators.merge_ops import MergeOp
+from logweave.plans.ranged import last_known, row_numbers
+from logweave.plans.scratch import written
 from logweave.schema import DELETES, MERGE, RDEL
 
 #: Range tombstones are compared by a broadcast range join up to this many, else through fragments.
@@ -37,8 +39,9 @@ def fragments(tombstones: DataFrame) -> DataFrame:
     """
     t = tombstones.where("key < end_key").select(F.col("key").alias("lo"), F.col("end_key").alias("hi"), "seqno")
     points = t.select(F.col("lo").alias("p")).union(t.select(F.col("hi"))).distinct()
-    numbered = points.withColumn("n", F.row_number().over(Window.orderBy("p")))
-    cells = numbered.withColumn("stop", F.lead("p").over(Window.orderBy("p"))).where("stop IS NOT NULL")
+    numbered = written(row_numbers(points, "p"), "endpoints")
+    after = numbered.select((F.col("n") - 1).alias("n"), F.col("p").alias("stop"))
+    cells = numbered.join(after, "n")
     a, b = numbered.alias("a"), numbered.alias("b")
     spans = t.join(a, F.col("lo") == F.col("a.p")).join(b, F.col("hi") == F.col("b.p"))
     spans = spans.select("seqno", F.explode(F.sequence(F.col("a.n"), F.col("b.n") - 1)).alias("n"))
@@ -51,11 +54,10 @@ def cover(points: DataFrame, tombstones: DataFrame) -> DataFrame:
     t = tombstones.where("key < end_key").select(F.col("key").alias("rd_lo"), F.col("end_key").alias("rd_hi"), F.col("seqno").alias("rd_seq"))
     if t.count() > BROADCAST_TOMBSTONES:
         t = fragments(tombstones).select(F.col("start").alias("rd_lo"), F.col("stop").alias("rd_hi"), F.col("seqno").alias("rd_seq"))
-        ends = points.select("key").distinct().select(F.col("key").alias("x"), F.lit(None).cast("long").alias("rd_seq"), F.lit(None).alias("rd_hi"))
-        marks = t.select(F.col("rd_lo").alias("x"), "rd_seq", "rd_hi").unionByName(ends)
-        w = Window.orderBy("x", F.col("rd_hi").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-        held = marks.withColumn("f", F.last(F.when(F.col("rd_hi").isNotNull(), F.struct("rd_hi", "rd_seq")), ignorenulls=True).over(w))
-        at = held.where("rd_hi IS NULL AND f.rd_hi > x").select(F.col("x").alias("key"), F.col("f.rd_seq").alias("rd_seq"))
+        marks = t.select(F.col("rd_lo").alias("x"), F.struct("rd_hi", "rd_seq").alias("f"), F.lit(0).alias("asked"))
+        ends = points.select("key").distinct().select(F.col("key").alias("x"), F.lit(None).cast(marks.schema["f"].dataType).alias("f"), F.lit(1).alias("asked"))
+        held = last_known(marks.unionByName(ends), "f", "x", "asked", name="span").where("asked = 1")
+        at = held.where("span.rd_hi > x").select(F.col("x").alias("key"), F.col("span.rd_seq").alias("rd_seq"))
         return points.join(at, "key", "left").withColumn("cover_seq", F.when(F.col("rd_seq") > F.col("seqno"), F.col("rd_seq"))).drop("rd_seq")
     over = (F.col("key") >= F.col("rd_lo")) & (F.col("key") < F.col("rd_hi")) & (F.col("rd_seq") > F.col("seqno"))
     hit = points.join(F.broadcast(t), over).groupBy("key", "seqno").agg(F.max("rd_seq").alias("cover_seq"))
@@ -124,9 +126,9 @@ def history(log: DataFrame, from_ts=None, to_ts=None) -> DataFrame:
 
 def seqno_of_time(mapping: DataFrame, asked: DataFrame) -> DataFrame:
     """For (id, ts) the largest mapped seqno with time at most ts, of mapping (seqno, ts); null before the first."""
-    marks = mapping.select(F.col("ts"), F.col("seqno"), F.lit(None).cast("long").alias("id")).unionByName(asked.select("ts", F.lit(None).cast("long").alias("seqno"), F.col("id").cast("long").alias("id")))
-    w = Window.orderBy("ts", F.col("id").isNotNull(), "seqno").rowsBetween(Window.unboundedPreceding, 0)
-    return marks.withColumn("found", F.last("seqno", ignorenulls=True).over(w)).where("id IS NOT NULL").select("id", "ts", F.col("found").alias("seqno"))
+    marks = mapping.select("ts", "seqno", F.lit(None).cast("long").alias("id")).unionByName(asked.select("ts", F.lit(None).cast("long").alias("seqno"), F.col("id").cast("long").alias("id")))
+    marks = marks.withColumn("asked", F.col("id").isNotNull())
+    return last_known(marks, "seqno", "ts", "asked", "seqno", "id", name="found").where("asked").select("id", "ts", F.col("found").alias("seqno"))
 
 
 def stripe(seqno: Column, snapshots: list[int]) -> Column:
