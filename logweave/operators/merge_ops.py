@@ -80,7 +80,7 @@ REGISTRY: dict[str, Callable[..., MergeOp]] = {
 AGGREGATORS: dict[str, Callable[[list], object]] = {
     "sum": lambda xs: sum(int(x) for x in xs),
     "mul": lambda xs: _product(int(x) for x in xs),
-    "last3": lambda xs: ",".join([y for x in reversed(xs) for y in reversed(str(x).split(","))][:3]),
+    "last3": lambda xs: ",".join([y for x in reversed(xs) for y in str(x).split(",")][:3]),
 }
 ERROR = "error"
 
