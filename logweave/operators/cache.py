@@ -247,3 +247,35 @@ def simulate(access: DataFrame, policies: list[str], capacities: list[int], scop
 
     parts = each.groupBy("policy", "capacity", "shard").applyInPandas(run, "policy string, capacity bigint, accesses bigint, hits bigint")
     return parts.groupBy("policy", "capacity").agg(F.sum("accesses").alias("accesses"), F.sum("hits").alias("hits"))
+
+
+def spatial_locality(access: DataFrame, keys_in_block: int) -> DataFrame:
+    """Percentage of a block's keys that were accessed, in tenths, and how many blocks fall in each: (tenth, blocks)."""
+    used = access.groupBy("block").agg(F.count_distinct("key").alias("keys"))
+    tenth = F.least(F.lit(10), F.ceil(F.col("keys") * 10 / keys_in_block)).cast("int")
+    return used.groupBy(tenth.alias("tenth")).agg(F.count("*").alias("blocks"))
+
+
+def caller_share(access: DataFrame, group: str, caller: str) -> DataFrame:
+    """Percentage of each group's accesses by caller."""
+    by = access.groupBy(group, caller).agg(F.count("*").alias("n"))
+    total = by.groupBy(group).agg(F.sum("n").alias("total"))
+    return by.join(total, group).select(group, caller, F.round(F.col("n") * 100 / F.col("total"), 4).alias("percent"))
+
+
+def access_count_summary(access: DataFrame, group: str, bounds: list[int]) -> DataFrame:
+    """Blocks of each group by how often they were accessed, in the first bucket above."""
+    counts = access.groupBy(group, "block").agg(F.count("*").alias("n"))
+    return counts.groupBy(group, first_above(F.col("n"), bounds).alias("bucket")).agg(F.count("*").alias("blocks"))
+
+
+def next_access_features(access: DataFrame) -> DataFrame:
+    """(seqno, block, past, since, until) of every access: accesses before, time since the last and until the next (null: none)."""
+    w = Window.partitionBy("block").orderBy("ts", "seqno")
+    return access.select("seqno", "block", (F.row_number().over(w) - 1).alias("past"), (F.col("ts") - F.lag("ts").over(w)).alias("since"), (F.lead("ts").over(w) - F.col("ts")).alias("until"))
+
+
+def size_stats(access: DataFrame, group: str) -> DataFrame:
+    """Distinct blocks, bytes, and least, mean and greatest block size of each group."""
+    blocks = access.groupBy(group, "block").agg(F.max("size").alias("size"))
+    return blocks.groupBy(group).agg(F.count("*").alias("blocks"), F.sum("size").alias("bytes"), F.min("size").alias("least"), F.round(F.avg("size"), 6).alias("mean"), F.max("size").alias("most"))

@@ -81,3 +81,18 @@ def overall(trace: DataFrame) -> DataFrame:
     """Accesses a key by op: keys, mean and population deviation."""
     counts = trace.groupBy("op", "key").agg(F.count("*").alias("n"))
     return counts.groupBy("op").agg(F.count("*").alias("keys"), F.sum("n").alias("accesses"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_pop("n"), 6).alias("deviation"))
+
+
+def io_summary(io: DataFrame) -> DataFrame:
+    """Calls, bytes and latency of an IO trace (file_operation, latency, len) by operation."""
+    return io.groupBy("file_operation").agg(F.count("*").alias("calls"), F.sum("len").alias("bytes"), F.round(F.avg("latency"), 3).alias("mean_latency"), F.max("latency").alias("most_latency"))
+
+
+def readable(trace: DataFrame) -> DataFrame:
+    """The trace as text lines: op, family, value size and time."""
+    return trace.select(F.concat_ws(" ", "op", F.coalesce(F.col("cf").cast("string"), F.lit("0")), F.coalesce(F.col("value_size").cast("string"), F.lit("0")), F.col("ts").cast("string")).alias("line"))
+
+
+def replay(trace: DataFrame) -> DataFrame:
+    """The writes of a trace (op in PUT, MERGE, DEL) as log entries, numbered in time order by (ts, seqno)."""
+    return trace.where(F.col("op").isin("PUT", "MERGE", "DEL")).select("key", "seqno", "op", F.col("value_size").alias("value"))

@@ -224,3 +224,39 @@ def stream_tail(spark, d):
     path = new_path(spark, "tailed")
     log.repartitionByRange(6, "seqno").write.parquet(path)
     return tail_state(spark, path, log.schema).select("key", "op", "seqno")
+
+
+@query(f"WITH {_A}, u AS (SELECT user_id % 40 AS block, count(DISTINCT user_id) AS keys FROM events GROUP BY 1) SELECT CAST(least(10, ceil(keys * 10 / 6.0)) AS INT) AS tenth, count(*) AS blocks FROM u GROUP BY 1")
+def cache_spatial_locality(spark, d):
+    return cache.spatial_locality(table(spark, d, "events").select((F.col("user_id") % 40).alias("block"), F.col("user_id").alias("key")), 6)
+
+
+@query(f"WITH {_A}, n AS (SELECT cf, caller, count(*) AS n FROM a GROUP BY cf, caller) SELECT cf, caller, round(n * 100 / sum(n) OVER (PARTITION BY cf), 4) AS percent FROM n")
+def cache_caller_share(spark, d):
+    return cache.caller_share(_access(spark, d), "cf", "caller")
+
+
+@query(f"WITH {_A}, n AS (SELECT cf, block, count(*) AS n FROM a GROUP BY cf, block) SELECT cf, CASE WHEN n < 100 THEN 100 WHEN n < 250 THEN 250 WHEN n < 1000 THEN 1000 END AS bucket, count(*) AS blocks FROM n GROUP BY 1, 2")
+def cache_access_summary(spark, d):
+    return cache.access_count_summary(_access(spark, d), "cf", [100, 250, 1000])
+
+
+@query(f"WITH {_A} SELECT seqno, block, CAST(row_number() OVER w - 1 AS INT) AS past, ts - lag(ts) OVER w AS since, lead(ts) OVER w - ts AS until FROM a WINDOW w AS (PARTITION BY block ORDER BY ts, seqno)")
+def cache_next_access(spark, d):
+    return cache.next_access_features(_access(spark, d))
+
+
+@query(f"WITH {_A}, b AS (SELECT cf, block, max(size) AS size FROM a GROUP BY cf, block) SELECT cf, count(*) AS blocks, CAST(sum(size) AS BIGINT) AS bytes, min(size) AS least, round(avg(size), 6) AS mean, max(size) AS most FROM b GROUP BY cf")
+def cache_block_sizes(spark, d):
+    return cache.size_stats(_access(spark, d), "cf")
+
+
+@query("SELECT event_type AS file_operation, count(*) AS calls, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS bytes, round(avg(user_id), 3) AS mean_latency, max(user_id) AS most_latency FROM events GROUP BY 1")
+def io_trace_summary(spark, d):
+    io = table(spark, d, "events").select(F.col("event_type").alias("file_operation"), F.col("user_id").alias("latency"), F.get_json_object("props", "$.k").cast("long").alias("len"))
+    return trace.io_summary(io)
+
+
+@query("SELECT event_type || ' 0 ' || json_extract_string(props, '$.k') || ' ' || epoch_us(ts) AS line FROM events")
+def trace_readable(spark, d):
+    return trace.readable(_trace(spark, d).withColumn("cf", F.lit(0)))
