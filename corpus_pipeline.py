@@ -43,17 +43,17 @@ def strike_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Every document without the bytes of 100-byte strings that also start earlier.
 
     Of a character of which some bytes go, the others go too; n_chars is counted anew.
+    A null text becomes an empty one.  Rows that share an id share its other columns.
     """
 
     @F.arrow_udf("string")
     def whole_characters(kept: pa.Array) -> pa.Array:
         return pa.array([b.as_py().decode("utf-8", "ignore") for b in kept], pa.string())
 
-    struck = remove_repeats(docs, length=100, with_text=True).select(F.col("doc_id").alias("struck_id"), "kept")
-    struck = struck.withColumn("new_text", whole_characters("kept")).drop("kept")
+    struck = remove_repeats(docs, length=100, with_text=True).select(F.col("doc_id").alias("_struck_id"), whole_characters("kept").alias("_struck_text"))
     rest = docs.drop("text").dropDuplicates(["doc_id"])
-    both = rest.join(struck, F.col("doc_id").eqNullSafe(F.col("struck_id")))
-    new = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast("long")}
+    both = rest.join(struck, F.col("doc_id").eqNullSafe(F.col("_struck_id")))
+    new = {"text": F.col("_struck_text"), "n_chars": F.length("_struck_text").cast("long")}
     return both.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 

@@ -60,3 +60,22 @@ def test_every_id_is_packed_once(steps):
     docs = rows(steps[4])
     want = dict(zip(docs, packing_cases.ids_of([r.text for r in docs.values()]), strict=True))
     assert packing_cases.check(steps[5].collect(), want, 2048) < 0.001
+
+
+def test_odd_rows_in_every_stage(spark, tmp_path):
+    long = "word " * 30_000
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, " \n ", "en", None, 3), (4, long, "en", "s", 1), (4, long, "en", "s", 1), (5, long + "x", "en", "s", 1), (None, "alone here", "en", "s", 1)]
+    extra = ["score", "kept", "version", "doc", "bucket", "kind", "pack", "rows", "root", "label"]
+    docs = spark.createDataFrame([(*r, *range(10)) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} int" for c in extra))
+    spark.createDataFrame([(None, 1, 1), (2, 0, 0), (3, None, 1)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(None, None), (1, ""), (2, "no such passage in any text here")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for stage in (s for _, s in corpus_pipeline.STAGES[1:4]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        ids = {r.doc_id for r in out.collect()}
+        assert ids >= {1, 2, 3, 4, None}
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    kept = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id in (4, 5)) == [4, 5]
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).columns == docs.columns
+    assert {r.doc_id for r in corpus_pipeline.pack_windows(spark, docs, str(tmp_path)).collect()} == {1, 2, 3, 4, 5, None}
