@@ -15,7 +15,7 @@ import numpy as np
 Params = dict[str, np.ndarray]
 
 
-def new_params(symbols: int, classes: int, hidden: int = 24, seed: int = 11, start: np.ndarray | None = None) -> Params:
+def new_params(symbols: int, classes: int, hidden: int = 16, seed: int = 11, start: np.ndarray | None = None) -> Params:
     """start: expected frequency of each symbol, from which the output biases begin."""
     rng = np.random.default_rng(seed)
     members = -(-symbols // classes)
@@ -34,13 +34,6 @@ def new_params(symbols: int, classes: int, hidden: int = 24, seed: int = 11, sta
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.exp(np.minimum(x, 60, out=x), out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
 def lanes(lengths: np.ndarray, width: int) -> tuple[np.ndarray, int]:
     """Lane and first step of each document (rows of two), longest first into the shortest lane; steps in all."""
     if not len(lengths):
@@ -84,18 +77,29 @@ def _run_window(p: Params, h: np.ndarray, x: np.ndarray, start: int, keep: bool)
     hidden = h.shape[1]
     states = np.empty((*x.shape, hidden), np.float32)
     saved = []
+    starts = x == start
+    begun = starts.any(axis=1).tolist()
+    two, flip = 2 * hidden, np.float32(-1)
+    inner = p["inner"].copy()
+    inner[:, :two] *= flip
+    inputs = p["inputs"].copy()
+    inputs[:, :two] *= flip
     for t in range(len(x)):
-        fresh = x[t] == start
-        if fresh.any():
+        fresh = starts[t]
+        if begun[t]:
             h = np.where(fresh[:, None], np.float32(0), h)
-        a = p["inputs"][x[t]]
-        u = h @ p["inner"]
-        gates = _sigmoid(a[:, : 2 * hidden] + u[:, : 2 * hidden])
+        a = inputs[x[t]]
+        u = h @ inner
+        gates = a[:, :two] + u[:, :two]
+        np.minimum(gates, 60, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
         r, z = gates[:, :hidden], gates[:, hidden:]
-        n = np.tanh(a[:, 2 * hidden :] + r * u[:, 2 * hidden :])
+        n = np.tanh(a[:, two:] + r * u[:, two:])
         new = n + z * (h - n)
         if keep:
-            saved.append((h, r, z, n, u[:, 2 * hidden :], fresh))
+            saved.append((h, r, z, n, u[:, two:], fresh))
         states[t] = h = new
     return states, h, saved
 
@@ -136,16 +140,49 @@ def _outputs(p: Params, states: np.ndarray, targets: np.ndarray, grads: Params |
     return logp, d
 
 
-def log_probabilities(p: Params, symbols: np.ndarray, heads: np.ndarray, width: int = 256, steps: int = 64) -> np.ndarray:
+def _log_sums(x: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Row-wise log of the sum of exponentials; logits this model can reach are far from overflow, larger ones are cut."""
+    np.minimum(x, 80, out=x)
+    return np.log(np.exp(x) @ ones[: x.shape[1]])
+
+
+class _Scorer:
+    """Log probabilities of targets, with biases folded into the products and no array of all probabilities."""
+
+    def __init__(self, p: Params):
+        self.classes = np.concatenate([p["classes"], p["class_bias"][None]])
+        self.words = np.concatenate([p["words"].transpose(0, 2, 1), p["word_bias"][:, None]], axis=1)
+        self.ones = np.ones(max(self.classes.shape[1], self.words.shape[2]), np.float32)
+
+    def __call__(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """states end with a column of ones."""
+        cls, member = np.divmod(targets, self.words.shape[2])
+        order = np.argsort(cls, kind="stable")
+        heads = np.searchsorted(cls[order], np.arange(len(self.words) + 1))
+        states, cls, member = states[order], cls[order], member[order]
+        x = states @ self.classes
+        out = x[np.arange(len(x)), cls] - _log_sums(x, self.ones)
+        for c in np.flatnonzero(np.diff(heads)).tolist():
+            r = slice(heads[c], heads[c + 1])
+            x = states[r] @ self.words[c]
+            out[r] += x[np.arange(len(x)), member[r]] - _log_sums(x, self.ones)
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+
+
+def log_probabilities(p: Params, symbols: np.ndarray, heads: np.ndarray, width: int = 256, steps: int = 256) -> np.ndarray:
     """Natural log probability of each document's symbols (document d is symbols[heads[d]:heads[d + 1]])."""
     start = len(p["inputs"]) - 1
     grid = Grid(symbols, heads, start, width)
     out = np.zeros(len(heads) - 1)
     h = np.zeros((grid.inputs.shape[1] if grid.inputs.size else 0, p["inner"].shape[0]), np.float32)
+    score = _Scorer(p)
     for w in grid.windows(steps):
         states, h, _ = _run_window(p, h, grid.inputs[w], start, False)
         valid = grid.targets[w] >= 0
-        logp, _ = _outputs(p, states[valid], grid.targets[w][valid])
+        states = np.concatenate([states[valid], np.ones((int(valid.sum()), 1), np.float32)], axis=1)
+        logp = score(states, grid.targets[w][valid])
         out += np.bincount(grid.docs[w][valid], weights=logp, minlength=len(out))
     return out
 

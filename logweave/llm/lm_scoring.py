@@ -52,7 +52,7 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, heads
 
 
-def _pieces(buf: np.ndarray, offsets: np.ndarray, size: int = 8 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _pieces(buf: np.ndarray, offsets: np.ndarray, size: int = 16 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for a, b in tk.chunks(offsets, size):
         h, heads = tokens(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         yield a, b, h, heads
@@ -238,7 +238,7 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary()), pa.array([weight])], names=["params", "weight"])
 
 
-def score_documents(docs: DataFrame, held_out: Column, hidden: int = 24, seed_docs: int = 200, train_every: int = 4, rate: float = 0.08) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, hidden: int = 16, seed_docs: int = 200, train_every: int = 4, rate: float = 0.08) -> DataFrame:
     """Unigram base and recurrent log10 likelihood of every document.
 
     docs has doc_id (integer) and text; rows for which held_out holds are not learnt
