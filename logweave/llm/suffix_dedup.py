@@ -16,6 +16,8 @@ is an anchor.
    prefix again.  The merge's common prefixes and those of the sorted left contexts tell,
    for each of the windows around an anchor, which anchors have it in common; all but
    the first of these are covered.
+   A k-gram with very many open contexts is not gathered: all windows around its anchors
+   are compared by a 128-bit hash instead, equal ones collapsing in every task first.
 4. The covered ranges meet their texts by document, and what is left is hashed.
 
 Texts cross the network in compressed packs, twice; no text, list of anchors or range is
@@ -44,6 +46,9 @@ _NULL_ID = -(1 << 63)
 _BASES = (U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F))
 _CODES = (tk.mix(np.arange(256, dtype=U64)), tk.mix(np.arange(256, dtype=U64) + U64(0x1234567)))
 _INDEX = U64((1 << 24) - 1)
+#: K-grams with more open contexts than this are settled window by window, not in one task.
+HOT = 20_000
+_HOT_BIT = U64(1 << 63)
 #: Bytes whose anchors are found at once.
 _SPAN = 2 << 20
 _powers: dict[tuple[int, bool], np.ndarray] = {}
@@ -245,7 +250,7 @@ def _repeats(kh, ch, doc, pos) -> tuple[np.ndarray, np.ndarray]:
     return ~begins & ((doc != doc[first]) | (pos != pos[first])), begins
 
 
-def _settle(plan: Plan, buckets: int):
+def _settle(plan: Plan, buckets: int, hot: int):
     """Anchors of a k-gram bucket to covered ranges (kind 0) and open anchors (kind 1), both by document."""
     left, length = plan.span - 1, plan.length
 
@@ -275,6 +280,7 @@ def _settle(plan: Plan, buckets: int):
         grams = np.concatenate([[0], np.cumsum(kh[1:] != kh[:-1])])
         contexts = np.bincount(grams[begins])
         still = begins & (contexts[grams] > 1)
+        kh = np.where(contexts[grams] > hot, kh | _HOT_BIT, kh)
         doc, version, pos, kh = doc[still], version[still], pos[still], kh[still]
         out += [(b, 1, _pack(doc[r], version[r], pos[r], kh[r])) for b, r in _deal(_doc_bucket(doc, version, buckets), buckets)]
         if out:
@@ -337,6 +343,7 @@ def _cut_suffixes(plan: Plan, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, versions, poss, grams, suffixes, lefts = [], [], [], [], [], []
+        hot: list[tuple[int, int, int, bytes, bytes]] = []
 
         def runs() -> pa.RecordBatch:
             where = (tk.mix(np.array(grams, U64)) % U64(buckets)).astype(np.int64)
@@ -347,7 +354,7 @@ def _cut_suffixes(plan: Plan, buckets: int):
                 before = [lefts[i] for i in order]
                 numbers = (np.array([x[i] for i in order], t) for x, t in ((docs, np.int64), (versions, np.uint32), (poss, np.int64)))
                 arrays = [np.frombuffer(x, np.uint8) for x in (lcps, lengths, rest, bytes(map(len, before)), b"".join(before))]
-                out.append((b, 0, _pack(*numbers, *arrays)))
+                out.append((b, 2, _pack(*numbers, *arrays)))
             for x in (docs, versions, poss, grams, suffixes, lefts):
                 x.clear()
             return _batch_rows(["bucket", "kind", "pack"], out)
@@ -360,6 +367,9 @@ def _cut_suffixes(plan: Plan, buckets: int):
                 lo, hi = int(offsets[i]), int(offsets[i + 1])
                 for p, g in zip(pos[a:b].tolist(), kh[a:b].tolist(), strict=True):
                     at = lo + p
+                    if g >> 63:
+                        hot.append((key[0], key[1], p, text[max(lo, at - left) : at], text[at : min(hi, at + length)]))
+                        continue
                     docs.append(key[0])
                     versions.append(key[1])
                     poss.append(p)
@@ -368,8 +378,57 @@ def _cut_suffixes(plan: Plan, buckets: int):
                     lefts.append(text[max(lo, at - left) : at][::-1])
             if len(docs) > 400_000:
                 yield runs()
+            if len(hot) > 20_000:
+                yield _windows_of(hot, plan, buckets)
         if docs:
             yield runs()
+        if hot:
+            yield _windows_of(hot, plan, buckets)
+
+    return run
+
+
+def _windows_of(hot: list[tuple[int, int, int, bytes, bytes]], plan: Plan, buckets: int) -> pa.RecordBatch:
+    """Every window around the anchors of hot k-grams by a 128-bit hash: of equal ones the first goes on, by
+    hash (kind 1), the others are covered (kind 0, by document)."""
+    left, length = plan.span - 1, plan.length
+    doc, version, pos = (np.array([h[i] for h in hot], t) for i, t in ((0, np.int64), (1, np.uint32), (2, np.int64)))
+    before, after = (np.array([len(h[i]) for h in hot]) for i in (3, 4))
+    buf = np.frombuffer(b"".join(h[3] + h[4] for h in hot), np.uint8)
+    at = np.cumsum(before + after) - after
+    hot.clear()
+    first, second = _Hashes(buf, 0), _Hashes(buf, 1)
+    parts = []
+    for back in range(left + 1):
+        rows = np.flatnonzero((before >= back) & (after >= length - back))
+        a = at[rows] - back
+        parts.append((first.of(a, a + length), second.of(a, a + length), doc[rows], version[rows], pos[rows] - back))
+    out = _first_windows_of(*(np.concatenate(c) for c in zip(*parts, strict=True)), length, buckets, True)
+    return _batch_rows(["bucket", "kind", "pack"], out)
+
+
+def _first_windows_of(h1, h2, doc, version, start, length: int, buckets: int, go_on: bool) -> list[tuple[int, int, bytes]]:
+    order = _first_of(h1, h2, doc, start)
+    h1, h2, doc, version, start = (x[order] for x in (h1, h2, doc, version, start))
+    again, _ = _repeats(h1, h2, doc, start)
+    out = list(_covered(start[again], start[again] + length, doc[again], version[again], buckets))
+    if go_on:
+        keep = np.flatnonzero(~again)
+        for b, r in _deal((tk.mix(h1[keep]) % U64(buckets)).astype(np.int64), buckets):
+            r = keep[r]
+            out.append((b, 1, _pack(h1[r], h2[r], doc[r], version[r], start[r])))
+    return out
+
+
+def _settle_windows(plan: Plan, buckets: int):
+    """Windows of a hash bucket to covered ranges: all but the first of equal ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [_unpack(p.as_py()) for b in batches for p in b.column("pack")]
+        if parts:
+            out = _first_windows_of(*(np.concatenate([p[i] for p in parts]) for i in range(5)), plan.length, buckets, False)
+            if out:
+                yield _batch_rows(["bucket", "kind", "pack"], out)
 
     return run
 
@@ -450,7 +509,7 @@ def _strike_out(with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """What is left of every document without its repeated ``length``-byte strings.
 
     docs has doc_id (integer) and text.  Returns doc_id, n_bytes, n_removed, n_spans
@@ -470,7 +529,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     listed = written(docs.mapInArrow(_list_anchors(plan, buckets), schema), "anchors")
-    settled = listed.where("kind = 1").repartitionById(buckets, F.col("bucket")).mapInArrow(_settle(plan, buckets), schema)
+    settled = listed.where("kind = 1").repartitionById(buckets, F.col("bucket")).mapInArrow(_settle(plan, buckets, hot), schema)
     settled = written(settled, "settled")
 
     texts = docs.mapInArrow(_pack_texts(buckets), schema)
@@ -478,8 +537,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False)
     def with_texts(lists: DataFrame) -> DataFrame:
         return lists.unionByName(texts).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("kind")
 
-    runs = with_texts(settled.where("kind = 1")).mapInArrow(_cut_suffixes(plan, buckets), schema)
-    compared = runs.repartitionById(buckets, F.col("bucket")).mapInArrow(_compare_windows(plan, buckets), schema)
-    covered = listed.where("kind = 0").unionByName(settled.where("kind = 0")).unionByName(written(compared, "windows"))
+    def met(rows: DataFrame, run) -> DataFrame:
+        return rows.repartitionById(buckets, F.col("bucket")).mapInArrow(run(plan, buckets), schema)
+
+    cut = written(with_texts(settled.where("kind = 1")).mapInArrow(_cut_suffixes(plan, buckets), schema), "runs")
+    compared = met(cut.where("kind = 2"), _compare_windows).unionByName(met(cut.where("kind = 1"), _settle_windows))
+    covered = listed.where("kind = 0").unionByName(settled.where("kind = 0")).unionByName(cut.where("kind = 0")).unionByName(written(compared, "windows"))
     out = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, version bigint, kept binary"
     return with_texts(covered).mapInArrow(_strike_out(with_text), out)

@@ -58,6 +58,15 @@ def test_edited_copies_repeats_within_a_text_and_giant_texts(spark, monkeypatch)
     assert got(remove_repeats(docs, 60)) == brute_force(rows, 60)
 
 
+def test_hot_grams_are_settled_by_windows(spark):
+    rnd = random.Random(8)
+    noise = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = noise(230)
+    rows = [(d, noise(rnd.randint(0, 150)) + passage[rnd.randrange(20) :] + noise(rnd.randint(0, 90))) for d in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert got(remove_repeats(docs, hot=2)) == brute_force(rows, 100)
+
+
 def test_nulls_empty_short_and_repeated_rows(spark):
     long = "abcdefghij" * 5 + "".join(chr(97 + i * i % 26) for i in range(90))
     rows = [(1, None), (2, ""), (3, "short"), (4, long), (4, long), (6, long), (None, "q" + long)]
