@@ -92,6 +92,30 @@ def _passages(w: tk.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return heads[row] + (np.arange(len(row)) - w.first[row]) // size, heads
 
 
+def _with_zero_row(rows: np.ndarray) -> np.ndarray:
+    return np.concatenate([rows, np.zeros((1, rows.shape[1]))]).astype(np.float32)
+
+
+def _grid(passage: np.ndarray, term: np.ndarray, passages: int, size: int, terms: int) -> np.ndarray:
+    """The terms of each passage in a row of ``size`` places; other words and the rest of a row have the number ``terms``."""
+    first = np.searchsorted(passage, np.arange(passages))
+    grid = np.full((passages, size), terms)
+    grid[passage, np.arange(len(passage)) - first[passage]] = np.where(term >= 0, term, terms)
+    return grid
+
+
+def _row_sums(values: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """Sum of the values of each grid row, place by place, in parts that stay in the cache."""
+    out = np.empty((len(grid), values.shape[1]), np.float32)
+    for a in range(0, len(grid), 512):
+        part = grid[a : a + 512]
+        acc = values[part[:, 0]]
+        for j in range(1, part.shape[1]):
+            acc += values[part[:, j]]
+        out[a : a + 512] = acc
+    return out
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = None, 0
     for batch in batches:
@@ -123,8 +147,11 @@ def _count_passages(items: Items, size: int):
                 w = _words(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 passage, heads = _passages(w, size)
                 term = items.term_of(w.hashes)
-                pairs = np.unique(passage[term >= 0] * len(items.terms) + term[term >= 0]) if len(items.terms) else np.zeros(0, np.int64)
-                df += np.bincount(pairs % max(1, len(items.terms)), minlength=len(df))
+                hit = np.flatnonzero(term >= 0)
+                if len(hit):
+                    pairs = np.sort(passage[hit] * len(items.terms) + term[hit])
+                    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+                    df += np.bincount(pairs % len(items.terms), minlength=len(df))
                 n += int(heads[-1])
         yield _sums_row(df, n)
 
@@ -134,6 +161,7 @@ def _count_passages(items: Items, size: int):
 def _sketch(items: Items, idf: np.ndarray, other: float, probe: np.ndarray, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(probe.shape)
+        weighted = _with_zero_row(idf[:, None] * probe)
         for batch in batches:
             buf, offsets = tk.utf8(tk.column(batch, "text"))
             for a, b in tk.chunks(offsets, 2 << 20):
@@ -146,26 +174,33 @@ def _sketch(items: Items, idf: np.ndarray, other: float, probe: np.ndarray, size
                 if not len(hit):
                     continue
                 p, t = passage[hit], term[hit]
-                value = (idf[t] / np.sqrt(square[p])).astype(np.float32)
-                first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-                y = np.add.reduceat(probe[t] * value[:, None], first, axis=0)
-                y = np.repeat(y, np.diff(np.append(first, len(p))), axis=0) * value[:, None]
-                order = np.argsort(t, kind="stable")
-                ids, first = np.unique(t[order], return_index=True)
-                total[ids] += np.add.reduceat(y[order], first, axis=0)
+                value = idf[t] / np.sqrt(square[p])
+                grid = _grid(passage, term, int(heads[-1]), size, len(items.terms))
+                y = _row_sums(weighted, grid) / np.sqrt(np.maximum(square, 1e-12))[:, None]
+                for j in range(total.shape[1]):
+                    total[:, j] += np.bincount(t, weights=y[p, j] * value, minlength=len(total))
         yield _sums_row(total.ravel(), 0)
 
     return run
 
 
 def _find(items: Items, idf: np.ndarray, other: float, basis: np.ndarray, near: float, copied: float, paraphrased: float, answered: float):
-    latent = np.stack([(idf[items.term_of(w)][:, None] * basis[items.term_of(w)]).sum(0) for w in items.words])
+    item_terms = [items.term_of(w) for w in items.words]
+    latent = np.stack([(idf[t][:, None] * basis[t]).sum(0) for t in item_terms])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    latent, weighted = latent.astype(np.float32), (idf[:, None] * basis).astype(np.float32)
+    gain = _with_zero_row((idf[:, None] * basis) @ latent.T)  # what a word adds to the product with each item
     item_words = [w.tolist() for w in items.words]
     answer_words = [w.tolist() for w in items.answers]
 
-    def judge(i: int, words: list[int]) -> tuple[float, float, bool]:
+    here = np.zeros(len(items.terms) + 1, bool)
+
+    def judge(i: int, words: np.ndarray, terms: np.ndarray) -> tuple[float, float, bool]:
+        here[terms] = True
+        present = np.count_nonzero(here[item_terms[i]])
+        here[terms] = False
+        if present < paraphrased * len(item_words[i]):  # no subsequence is longer than this
+            return 0.0, 0.0, False
+        words = words.tolist()
         cover = lcs_length(item_words[i], words) / len(item_words[i])
         if cover < paraphrased:
             return cover, 0.0, False
@@ -188,30 +223,23 @@ def _find(items: Items, idf: np.ndarray, other: float, basis: np.ndarray, near:
                 hit = np.flatnonzero(term >= 0)
                 if not len(hit):
                     continue
-                at = block[hit]
-                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                made = np.zeros((blocks, basis.shape[1]), np.float32)
-                made[at[first]] = np.add.reduceat(weighted[term[hit]], first, axis=0)
                 row_of = np.repeat(np.arange(b - a), np.diff(heads))
+                made = _row_sums(gain, _grid(block, term, blocks, BLOCK, len(items.terms)))
                 windows, norms = made.copy(), square.copy()
                 for j in range(1, WINDOW):
                     same = np.flatnonzero(row_of[: blocks - j] == row_of[j:]) if blocks > j else np.zeros(0, np.int64)
                     windows[same] += made[same + j]
                     norms[same] += square[same + j]
-                norms = np.sqrt(np.maximum(norms, 1e-12))
-                may = np.flatnonzero(np.linalg.norm(windows, axis=1) >= near * norms)
+                windows /= np.sqrt(np.maximum(norms, 1e-12))[:, None]
                 best: dict[tuple[int, int], list[tuple[float, int]]] = {}
-                for c in range(0, len(may), 4096):
-                    rows = may[c : c + 4096]
-                    cos = (windows[rows] @ latent.T) / norms[rows, None]
-                    for r, i in zip(*np.nonzero(cos >= near), strict=True):
-                        best.setdefault((int(row_of[rows[r]]), int(i)), []).append((float(cos[r, i]), int(rows[r])))
+                for r, i in zip(*(x.tolist() for x in np.nonzero(windows >= near)), strict=True):
+                    best.setdefault((int(row_of[r]), i), []).append((float(windows[r, i]), r))
                 for (row, i), places in best.items():
                     for cos, place in sorted(places, reverse=True):
                         n = len(item_words[i])
                         start = int(w.first[row]) + (place - int(heads[row])) * BLOCK
                         lo, hi = max(int(w.first[row]), start - n), min(int(w.first[row + 1]), start + WINDOW * BLOCK + n)
-                        cover, reply, leaked = judge(i, w.hashes[lo:hi].tolist())
+                        cover, reply, leaked = judge(i, w.hashes[lo:hi], term[lo:hi])
                         if leaked:
                             found.append((ids[a + row], items.ids[i], cos, cover, reply))
                             break
