@@ -93,3 +93,46 @@ def deletion_trigger(log: DataFrame, window: int, trigger: int) -> DataFrame:
     w = Window.partitionBy("part").orderBy("key", F.desc("seqno")).rowsBetween(-(window - 1), 0)
     seen = log.withColumn("near", F.sum(F.col("op").isin(*DELETES).cast("int")).over(w))
     return seen.groupBy("part").agg(F.max("near").alias("most")).withColumn("fires", F.col("most") >= trigger)
+
+
+def level_scores(files: DataFrame, base: int, multiplier: int, trigger: int) -> DataFrame:
+    """(level, score) of files (level, size): level 0 by its number of files against a trigger, others by bytes
+    against base * multiplier ** (level - 1); the level of the largest score is compacted first."""
+    by = files.groupBy("level").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    target = F.lit(float(base)) * F.pow(F.lit(float(multiplier)), F.col("level") - 1)
+    score = F.when(F.col("level") == 0, F.col("files") / trigger).otherwise(F.col("bytes") / target)
+    return by.select("level", F.round(score, 6).alias("score"))
+
+
+def delete_files_in_range(zones: DataFrame, column: str, lo, hi) -> DataFrame:
+    """Files that stay when all files wholly inside [lo, hi] are dropped, from a zone map."""
+    return zones.where(~((F.col(f"min_{column}") >= F.lit(lo)) & (F.col(f"max_{column}") <= F.lit(hi))))
+
+
+def tier_by_age(log: DataFrame, now: int, hot_seconds: int) -> DataFrame:
+    """The log with ``tier``: hot for entries written in the last so many seconds, else cold."""
+    return log.withColumn("tier", F.when(F.col("write_unix_time") >= now - hot_seconds, "hot").otherwise("cold"))
+
+
+def recovery_filter(log: DataFrame, ignore: Column, stop: Column) -> DataFrame:
+    """Entries that are taken over on recovery: those not ignored, before the first entry that stops it."""
+    first = log.where(stop).agg(F.min("seqno").alias("first"))
+    return log.join(F.broadcast(first)).where((F.col("first").isNull() | (F.col("seqno") < F.col("first"))) & ~F.coalesce(ignore, F.lit(False))).drop("first")
+
+
+def merge_cost(files: DataFrame, read_mb_s: float, merge_keys_s: float, keys_per_round: int) -> DataFrame:
+    """Rounds, read seconds, merge seconds and keys a second of merging files (keys, mb)."""
+    total = files.agg(F.sum("keys").alias("keys"), F.sum("mb").alias("mb"))
+    rounds = F.ceil(F.col("keys") / keys_per_round)
+    io, compute = F.col("mb") / read_mb_s, F.col("keys") / merge_keys_s
+    return total.select("keys", rounds.alias("rounds"), F.round(io, 6).alias("io_s"), F.round(compute, 6).alias("merge_s"), F.round(F.col("keys") / (io + compute), 3).alias("keys_per_s"))
+
+
+def sorted_runs(spark, runs: int, keys: int, seed: int = 23) -> DataFrame:
+    """(run, key, value) of ``runs`` runs of unique keys below 2**62, the same for the same seed."""
+    step = F.lit((1 << 62) // max(1, runs * keys))
+    return spark.range(runs * keys).select(
+        F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(runs)).cast("int").alias("run"),
+        (F.col("id") * step + F.pmod(F.xxhash64("id", F.lit(seed + 1)), step)).alias("key"),
+        F.xxhash64("id", F.lit(seed + 2)).alias("value"),
+    )

@@ -123,3 +123,18 @@ def agg_merge(log: DataFrame) -> DataFrame:
         return pd.DataFrame([fold_by_name([(o["function"], o["payload"]) for o in ops]) for ops in operands], columns=["function", "value"])
 
     return listed.select("key", folded("operands").alias("r")).select("key", "r.function", "r.value")
+
+
+def wide_merge(cells: DataFrame) -> DataFrame:
+    """(key, name, value) of entity operands (key, seqno, name, value): of each column the newest operand's value."""
+    return cells.groupBy("key", "name").agg(F.max_by("value", "seqno").alias("value"))
+
+
+def ttl_merge(inner: MergeOp, now: int) -> Callable[[DataFrame], DataFrame]:
+    """A fold of rows (key, seqno, value) whose result is stamped with ``now``: (key, value, write_unix_time)."""
+
+    def run(rows: DataFrame) -> DataFrame:
+        folded = rows.groupBy("key").agg(inner.fold(F.col("value"), F.col("seqno")).alias("folded"))
+        return folded.select("key", inner.combine(F.lit(None).cast(folded.schema["folded"].dataType), F.col("folded")).alias("value"), F.lit(now).cast("long").alias("write_unix_time"))
+
+    return run

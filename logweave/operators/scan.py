@@ -59,3 +59,10 @@ def approximate_size(log: DataFrame, lo, hi, key: Column | None = None) -> DataF
     k = key if key is not None else F.col("key")
     part = log.where((k >= F.lit(lo)) & (k < F.lit(hi)))
     return part.agg(F.count("*").alias("entries"), F.coalesce(F.sum(F.octet_length(k.cast("string")) + F.octet_length(F.coalesce(F.col("value").cast("string"), F.lit("")))), F.lit(0)).alias("bytes"))
+
+
+def get_entity(state: DataFrame, key, columns: str = "columns") -> DataFrame:
+    """(name, value) of the wide columns of one key, by name; a plain value is the column without a name."""
+    row = state.where(F.col("key") == F.lit(key))
+    plain = F.map_from_arrays(F.array(F.lit("")), F.array("value"))
+    return row.select(F.explode(F.coalesce(F.col(columns), plain)).alias("name", "value")).orderBy("name")

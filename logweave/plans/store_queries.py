@@ -440,3 +440,53 @@ def file_properties(spark, d):
     return table(spark, d, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("file")).agg(
         F.count("*").alias("entries"), F.count_distinct("l_orderkey").alias("keys"), F.min("l_orderkey").alias("smallest"), F.max("l_orderkey").alias("largest"), F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents")
     )
+
+
+@query(f"WITH {MUT}, c AS (SELECT key, seqno, 'k' AS name, k AS value FROM mut WHERE op = 'ENTITY' UNION ALL SELECT key, seqno, 'v' || k % 3, value FROM mut WHERE op = 'ENTITY') SELECT key, name, arg_max(value, seqno) AS value FROM c WHERE value IS NOT NULL GROUP BY key, name")
+def wide_merge(spark, d):
+    m = mutations(spark, d).where("op = 'ENTITY'")
+    cells = F.array(F.struct(F.lit("k").alias("name"), F.col("k").alias("value")), F.struct(F.concat(F.lit("v"), (F.col("k") % 3).cast("string")).alias("name"), F.col("value").alias("value")))
+    return merge_ops.wide_merge(m.select("key", "seqno", F.explode(cells).alias("c")).select("key", "seqno", "c.name", "c.value").where("value IS NOT NULL"))
+
+
+@query(f"WITH {MUT} SELECT key, CAST(sum(value) AS BIGINT) AS value, 1700000000::BIGINT AS write_unix_time FROM mut WHERE op = 'MERGE' GROUP BY key")
+def ttl_merge(spark, d):
+    return merge_ops.ttl_merge(merge_ops.uint64add(), 1_700_000_000)(_log(spark, d).where("op = 'MERGE'").select("key", "seqno", "value"))
+
+
+@query("WITH f AS (SELECT o_custkey % 4 AS level, count(*) AS size FROM orders GROUP BY o_custkey), b AS (SELECT level, count(*) AS files, sum(size) AS bytes FROM f GROUP BY level) SELECT level, round(CASE WHEN level = 0 THEN files / 4 ELSE bytes / (1000.0::DOUBLE * pow(10.0::DOUBLE, level - 1)) END, 6) AS score FROM b")
+def level_scores(spark, d):
+    files = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("size")).select((F.col("o_custkey") % 4).alias("level"), "size")
+    return compact.level_scores(files, 1000, 10, 4)
+
+
+@query("WITH z AS (SELECT o_custkey % 50 AS file, count(*) AS rows, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY 1) SELECT file, rows FROM z WHERE NOT (lo >= 2000 AND hi <= 480000)")
+def delete_files_in_range(spark, d):
+    zones = skipping.zone_map(table(spark, d, "orders").withColumn("file", F.col("o_custkey") % 50), "file", "o_totalprice")
+    return compact.delete_files_in_range(zones, "o_totalprice", 2000, 480_000).select("file", "rows")
+
+
+@query("WITH l AS (SELECT event_id AS seqno, epoch_us(ts) // 1000000 AS t FROM events), n AS (SELECT max(t) AS now FROM l) SELECT CASE WHEN t >= now - 864000 THEN 'hot' ELSE 'cold' END AS tier, count(*) AS entries FROM l, n GROUP BY 1")
+def tier_by_age(spark, d):
+    log = table(spark, d, "events").select(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("write_unix_time"))
+    now = log.agg(F.max("write_unix_time")).first()[0]
+    return compact.tier_by_age(log, now, 864_000).groupBy("tier").agg(F.count("*").alias("entries"))
+
+
+@query(f"WITH {MUT}, s AS (SELECT min(seqno) AS s FROM mut WHERE value > 9000 AND seqno > 100) SELECT key, seqno FROM mut, s WHERE (s IS NULL OR seqno < s) AND op <> 'DEL'")
+def recovery_filter(spark, d):
+    return compact.recovery_filter(_log(spark, d), F.col("op") == "DEL", (F.col("value") > 9000) & (F.col("seqno") > 100)).select("key", "seqno")
+
+
+@query("WITH f AS (SELECT o_custkey % 8 AS file, count(*) AS keys, count(*) / 1000.0::DOUBLE AS mb FROM orders GROUP BY 1), t AS (SELECT sum(keys) AS keys, sum(mb) AS mb FROM f) SELECT CAST(keys AS BIGINT) AS keys, CAST(ceil(keys / 4096) AS BIGINT) AS rounds, round(mb / 200.0::DOUBLE, 6) AS io_s, round(keys / 40000.0::DOUBLE, 6) AS merge_s, round(keys / (mb / 200.0::DOUBLE + keys / 40000.0::DOUBLE), 3) AS keys_per_s FROM t")
+def merge_cost(spark, d):
+    files = table(spark, d, "orders").groupBy((F.col("o_custkey") % 8).alias("file")).agg(F.count("*").alias("keys"), (F.count("*") / 1000.0).alias("mb"))
+    return compact.merge_cost(files, 200.0, 40_000.0, 4096)
+
+
+@query("SELECT n_nationkey AS key, n_name AS value FROM nation UNION ALL SELECT NULL, NULL WHERE false")
+def entity_scan(spark, d):
+    """Nations as entities, read column by column and put together again."""
+    nation = table(spark, d, "nation")
+    state = nation.select(F.col("n_nationkey").alias("key"), F.lit(None).cast("string").alias("value"), F.create_map(F.lit("name"), F.col("n_name")).alias("columns"))
+    return state.select("key", F.explode("columns").alias("name", "value")).select("key", "value")

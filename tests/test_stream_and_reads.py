@@ -43,3 +43,14 @@ def test_probing_all_lists_is_exact(spark):
     queries = v.where("vec_id = 9").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     got = index.knn(index.assign_lists(v, centroids), centroids, queries, 3, 4).orderBy("rank").collect()
     assert got[0].vec_id == 9 and got[0].distance == 0
+
+
+def test_entities_and_generated_runs(spark):
+    from logweave.operators import compact
+
+    state = spark.createDataFrame([(1, None, {"b": "2", "a": "1"}), (2, "v", None)], "key bigint, value string, columns map<string,string>")
+    assert [tuple(r) for r in scan.get_entity(state, 1).collect()] == [("a", "1"), ("b", "2")]
+    assert [tuple(r) for r in scan.get_entity(state, 2).collect()] == [("", "v")]
+    runs = compact.sorted_runs(spark, 4, 100)
+    assert runs.count() == runs.select("key").distinct().count() == 400
+    assert sorted(map(tuple, runs.collect())) == sorted(map(tuple, compact.sorted_runs(spark, 4, 100).repartition(3).collect()))
