@@ -134,7 +134,7 @@ def _sums_row(total: np.ndarray, n: int) -> pa.RecordBatch:
 def _gather(texts: DataFrame, run, size: int) -> tuple[np.ndarray, int]:
     """Sum over all tasks of the arrays that run yields; tasks' rows are first added up in at most 64 tasks."""
     width = max(1, min(64, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    rows = written(texts.mapInArrow(run, _SUMS).repartition(width).mapInArrow(_summed, _SUMS), "sums").collect()
+    rows = written(texts.mapInArrow(tk.tidy(run), _SUMS).repartition(width).mapInArrow(_summed, _SUMS), "sums").collect()
     return sum((np.frombuffer(r.sums, np.float64) for r in rows), np.zeros(size)), sum(r.n for r in rows)
 
 
@@ -287,5 +287,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, near: float = 0.2, copied:
         both = np.concatenate([own / np.linalg.norm(own, axis=0), sketch / max(1e-12, np.linalg.norm(sketch, axis=0).max())], axis=1)
         u, s, _ = np.linalg.svd(both, full_matrices=False)
         basis = u[:, s > 1e-6 * s[0]]
-        out = out.unionByName(texts.mapInArrow(_find(items, idf, other, basis, near, copied, paraphrased, answered), out.schema))
+        out = out.unionByName(texts.mapInArrow(tk.tidy(_find(items, idf, other, basis, near, copied, paraphrased, answered)), out.schema))
     return out

@@ -62,7 +62,7 @@ class Grid:
         at = (place[doc, 1] + within) * b + place[doc, 0]
         before = np.concatenate([[start_symbol], symbols[:-1]]) if len(symbols) else symbols
         before = np.where(within == 0, start_symbol, before)
-        self.inputs, self.targets, self.docs = np.full(steps * b, start_symbol), np.full(steps * b, -1), np.full(steps * b, -1)
+        self.inputs, self.targets, self.docs = (np.full(steps * b, x, np.int32) for x in (start_symbol, -1, -1))
         self.inputs[at], self.targets[at], self.docs[at] = before, symbols, doc
         self.inputs, self.targets, self.docs = (x.reshape(steps, b) for x in (self.inputs, self.targets, self.docs))
         self.start = start_symbol

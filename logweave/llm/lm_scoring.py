@@ -52,7 +52,7 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, heads
 
 
-def _pieces(buf: np.ndarray, offsets: np.ndarray, size: int = 16 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _pieces(buf: np.ndarray, offsets: np.ndarray, size: int = 12 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for a, b in tk.chunks(offsets, size):
         h, heads = tokens(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         yield a, b, h, heads
@@ -257,8 +257,8 @@ def score_documents(docs: DataFrame, held_out: Column, hidden: int = 16, seed_do
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (~F.coalesce(held_out, F.lit(False))).alias("train"))
 
-    listed = base.mapInArrow(_list_words(buckets), _LIST).repartitionById(buckets, F.col("bucket"))
-    settled = written(listed.mapInArrow(_settle_counts(buckets, SYMBOLS), _LIST), "counts")
+    listed = base.mapInArrow(tk.tidy(_list_words(buckets)), _LIST).repartitionById(buckets, F.col("bucket"))
+    settled = written(listed.mapInArrow(tk.tidy(_settle_counts(buckets, SYMBOLS)), _LIST), "counts")
     totals = settled.where("kind = 1").mapInArrow(_merge_totals, "n long, v long, words binary, counts binary, groups binary")
     while totals.rdd.getNumPartitions() > 64:
         totals = totals.repartition(64).mapInArrow(_merge_merged, totals.schema)
@@ -274,7 +274,7 @@ def score_documents(docs: DataFrame, held_out: Column, hidden: int = 16, seed_do
     sample = train.orderBy(order, "doc_id").limit(seed_docs).select("text").toArrow()
     for _, _, symbols, heads, _ in _symbols_of(sample["text"], language):
         trainer.fit(symbols, heads, width=32)
-    replicas = train.where(F.pmod(order, F.lit(train_every)) == 0).select("text").mapInArrow(_train_parts(language, rate), "params binary, weight double")
+    replicas = train.where(F.pmod(order, F.lit(train_every)) == 0).select("text").mapInArrow(tk.tidy(_train_parts(language, rate)), "params binary, weight double")
     few = written(replicas.repartition(min(64, buckets)).mapInArrow(_average, "params binary, weight double"), "replicas")
     parts = few.collect()
     if parts:

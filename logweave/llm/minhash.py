@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int =
     )
     width = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-    pairs = written(rows.mapInArrow(_cross_pairs(num, den), "a bigint, b bigint").distinct(), "pairs")
+    pairs = written(rows.mapInArrow(tk.tidy(_cross_pairs(num, den)), "a bigint, b bigint").distinct(), "pairs")
     more = written(confirm(pairs, docs, k, num, den), "links")
     parts = written(connected_components(links.unionByName(more)), "components")
 

@@ -180,7 +180,7 @@ def pack(
             yield batch()
 
     schema = ", ".join(f"{n} bigint" for n in names) + (", tokens array<int>" if with_tokens else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(tk.tidy(run), schema)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

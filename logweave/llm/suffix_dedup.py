@@ -50,7 +50,7 @@ _INDEX = U64((1 << 24) - 1)
 HOT = 20_000
 _HOT_BIT = U64(1 << 63)
 #: Bytes whose anchors are found at once.
-_SPAN = 2 << 20
+_SPAN = 1 << 20
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -208,16 +208,21 @@ def _covered(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, version: np.ndarra
         yield b, 0, _pack(doc[rows], version[rows], lo[rows], hi[rows])
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Bytes, offsets and doc ids of a few MB of texts at a time."""
+    for batch in batches:
+        buf, offsets = tk.utf8(tk.column(batch, "text"))
+        doc = tk.int64s(tk.column(batch, "doc_id"), _NULL_ID)
+        for a, b in tk.chunks(offsets, 8 << 20):
+            yield buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], doc[a:b]
+
+
 def _list_anchors(plan: Plan, buckets: int):
     """Texts to (bucket, kind, pack): kind 0 covered ranges by document, kind 1 anchors by k-gram."""
     left, length = plan.span - 1, plan.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            buf, offsets = tk.utf8(tk.column(batch, "text"))
-            doc_of = tk.int64s(tk.column(batch, "doc_id"), _NULL_ID)
+        for buf, offsets, doc_of in _parts(batches):
             version_of, size_of = _versions(buf, offsets), np.diff(offsets)
             row, pos, kh, ch = anchors(buf, offsets, plan)
             if not len(row):
@@ -294,11 +299,7 @@ def _pack_texts(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            buf, offsets = tk.utf8(tk.column(batch, "text"))
-            doc = tk.int64s(tk.column(batch, "doc_id"), _NULL_ID)
+        for buf, offsets, doc in _parts(batches):
             version = _versions(buf, offsets)
             rows = []
             for b, r in _deal(_doc_bucket(doc, version, buckets), buckets):
@@ -528,20 +529,20 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False,
     schema = "bucket int, kind int, pack binary"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    listed = written(docs.mapInArrow(_list_anchors(plan, buckets), schema), "anchors")
-    settled = listed.where("kind = 1").repartitionById(buckets, F.col("bucket")).mapInArrow(_settle(plan, buckets, hot), schema)
+    listed = written(docs.mapInArrow(tk.tidy(_list_anchors(plan, buckets)), schema), "anchors")
+    settled = listed.where("kind = 1").repartitionById(buckets, F.col("bucket")).mapInArrow(tk.tidy(_settle(plan, buckets, hot)), schema)
     settled = written(settled, "settled")
 
-    texts = docs.mapInArrow(_pack_texts(buckets), schema)
+    texts = docs.mapInArrow(tk.tidy(_pack_texts(buckets)), schema)
 
     def with_texts(lists: DataFrame) -> DataFrame:
         return lists.unionByName(texts).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("kind")
 
     def met(rows: DataFrame, run) -> DataFrame:
-        return rows.repartitionById(buckets, F.col("bucket")).mapInArrow(run(plan, buckets), schema)
+        return rows.repartitionById(buckets, F.col("bucket")).mapInArrow(tk.tidy(run(plan, buckets)), schema)
 
-    cut = written(with_texts(settled.where("kind = 1")).mapInArrow(_cut_suffixes(plan, buckets), schema), "runs")
+    cut = written(with_texts(settled.where("kind = 1")).mapInArrow(tk.tidy(_cut_suffixes(plan, buckets)), schema), "runs")
     compared = met(cut.where("kind = 2"), _compare_windows).unionByName(met(cut.where("kind = 1"), _settle_windows))
     covered = listed.where("kind = 0").unionByName(settled.where("kind = 0")).unionByName(cut.where("kind = 0")).unionByName(written(compared, "windows"))
     out = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, version bigint, kept binary"
-    return with_texts(covered).mapInArrow(_strike_out(with_text), out)
+    return with_texts(covered).mapInArrow(tk.tidy(_strike_out(with_text)), out)

@@ -9,13 +9,14 @@ the length of a batch or of one text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 U64 = np.uint64
 _MULT = U64(0x9E3779B97F4A7C15)
@@ -30,6 +31,32 @@ _LOWER[65:91] += 32
 _BYTE = None
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library: it keeps what is freed
+
+    def _trim(_: int) -> int:
+        return 0
+
+
+def release() -> None:
+    """Hand freed memory back to the system: workers outlive their tasks, and what one stage freed the next cannot use."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function of record batches that releases memory when it ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (splitmix64), elementwise; the argument is not changed."""
     x = x + _MULT
@@ -66,6 +93,8 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offs, data = column.buffers()
+    if data is not None and data.size > 1 << 20:
+        release()
     offsets = np.frombuffer(offs, np.int64, count=n + 1, offset=column.offset * 8)
     buf = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
