@@ -238,7 +238,7 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary()), pa.array([weight])], names=["params", "weight"])
 
 
-def score_documents(docs: DataFrame, held_out: Column, hidden: int = 16, seed_docs: int = 200, train_every: int = 4, rate: float = 0.08) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, hidden: int = 16, seed_docs: int = 200, rate: float = 0.08) -> DataFrame:
     """Unigram base and recurrent log10 likelihood of every document.
 
     docs has doc_id (integer) and text; rows for which held_out holds are not learnt
@@ -250,8 +250,8 @@ def score_documents(docs: DataFrame, held_out: Column, hidden: int = 16, seed_do
     rows whenever it is read.
 
     Counts cover all training rows.  The recurrent weights start from ``seed_docs`` rows
-    and are then trained in one pass over every ``train_every``-th training row by a hash
-    of its id, a replica for each partition; replicas are averaged by their tokens.
+    and are then trained in one pass over every training row, a replica for each
+    partition; replicas are averaged by their tokens.
     """
     spark = docs.sparkSession
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -274,7 +274,7 @@ def score_documents(docs: DataFrame, held_out: Column, hidden: int = 16, seed_do
     sample = train.orderBy(order, "doc_id").limit(seed_docs).select("text").toArrow()
     for _, _, symbols, heads, _ in _symbols_of(sample["text"], language):
         trainer.fit(symbols, heads, width=32)
-    replicas = train.where(F.pmod(order, F.lit(train_every)) == 0).select("text").mapInArrow(tk.tidy(_train_parts(language, rate)), "params binary, weight double")
+    replicas = train.select("text").mapInArrow(tk.tidy(_train_parts(language, rate)), "params binary, weight double")
     few = written(replicas.repartition(min(64, buckets)).mapInArrow(_average, "params binary, weight double"), "replicas")
     parts = few.collect()
     if parts:

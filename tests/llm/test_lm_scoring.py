@@ -5,7 +5,10 @@ from collections import Counter
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from logweave.llm import gru
+from logweave.llm.lm_scoring import score_documents
 from logweave.llm.queries import op6_gru_lm
 
 DIR = "/root/testdata/sf0.01"
@@ -81,3 +84,20 @@ def test_probabilities_sum_to_one():
     p = gru.new_params(12, 3, hidden=4)
     total = sum(math.exp(gru.log_probabilities(p, np.array([s]), np.array([0, 1]))[0]) for s in range(12))
     assert math.isclose(total, 1, rel_tol=1e-4)
+
+
+def test_every_training_row_trains_the_weights(spark):
+    ids = spark.range(400).select("id", F.xxhash64("id", F.lit(3)).alias("h")).orderBy("h").collect()
+    kept = {ids[0].id} | {r.id for r in ids if r.h % 4 == 0}
+    rng, cycle = np.random.default_rng(5), [f"w{i}" for i in range(20)]
+    mixed = {r.id: rng.permutation(cycle * 5).tolist() for r in ids}
+
+    def score(others_in_order):
+        said = {d: cycle * 5 if others_in_order and d not in kept else m for d, m in mixed.items()}
+        rows = [(d, " ".join(w)) for d, w in said.items()] + [(-1, " ".join(cycle * 5))]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1)
+        return next((r.score, r.base_score) for r in score_documents(df, F.col("doc_id") < 0, seed_docs=1).collect() if r.doc_id == -1)
+
+    (ordered, base), (shuffled, same) = score(True), score(False)
+    assert math.isclose(base, same, rel_tol=1e-9)
+    assert ordered > shuffled + 10
