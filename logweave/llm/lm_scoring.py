@@ -238,7 +238,7 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary()), pa.array([weight])], names=["params", "weight"])
 
 
-def score_documents(docs: DataFrame, held_out: Column, hidden: int = 16, seed_docs: int = 200, rate: float = 0.08) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, hidden: int = 24, seed_docs: int = 200, rate: float = 0.08) -> DataFrame:
     """Unigram base and recurrent log10 likelihood of every document.
 
     docs has doc_id (integer) and text; rows for which held_out holds are not learnt

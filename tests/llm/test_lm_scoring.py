@@ -1,3 +1,4 @@
+import inspect
 import math
 import re
 import zlib
@@ -101,3 +102,8 @@ def test_every_training_row_trains_the_weights(spark):
     (ordered, base), (shuffled, same) = score(True), score(False)
     assert math.isclose(base, same, rel_tol=1e-9)
     assert ordered > shuffled + 10
+
+
+def test_models_have_24_units_unless_told():
+    assert gru.new_params(12, 3)["inner"].shape == (24, 72)
+    assert inspect.signature(score_documents).parameters["hidden"].default == 24
