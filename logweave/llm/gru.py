@@ -3,16 +3,22 @@
 Symbols are numbered so that symbol s is member ``s % members`` of class
 ``s // members``; its probability is that of the class times that within the class.
 Documents are laid end to end in parallel lanes, with the state set to zero where a
-document begins and carried from window to window within it.
+document begins and carried from window to window within it.  Lanes may differ in
+length; a step works on the lanes that reach it, so that a very long document costs its
+own tokens only.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 
 Params = dict[str, np.ndarray]
+F32 = np.float32
+#: Lanes of a batch, and the symbols seen up to which so few are taken; later on WIDEST.
+WIDTHS, WIDEST = ((16, 32_768), (32, 98_304), (64, 262_144), (128, 524_288)), 256
 
 
 def new_params(symbols: int, classes: int, hidden: int = 24, seed: int = 11, start: np.ndarray | None = None) -> Params:
@@ -31,214 +37,266 @@ def new_params(symbols: int, classes: int, hidden: int = 24, seed: int = 11, sta
         "words": rng.normal(0, 0.1, (classes, members, hidden)),
         "word_bias": np.log(table / table.sum(1, keepdims=True)),
     }
-    return {k: v.astype(np.float32) for k, v in p.items()}
+    return {k: v.astype(F32) for k, v in p.items()}
 
 
-def lanes(lengths: np.ndarray, width: int) -> tuple[np.ndarray, int]:
-    """Lane and first step of each document (rows of two), longest first into the shortest lane; steps in all."""
-    if not len(lengths):
-        return np.zeros((0, 2), np.int64), 0
-    width = max(1, min(width, int(lengths.sum() // max(1, lengths.max())) + 1, len(lengths)))
-    import heapq
-
+def lanes(lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lane and first step of each document (rows of two), longest first into the shortest lane; lanes' lengths, falling."""
+    width = max(1, min(width, len(lengths)))
     heap = [(0, i) for i in range(width)]
     place = np.zeros((len(lengths), 2), np.int64)
     for d in np.argsort(-lengths, kind="stable").tolist():
         at, lane = heap[0]
         place[d] = lane, at
         heapq.heapreplace(heap, (at + int(lengths[d]), lane))
-    return place, max(h[0] for h in heap)
+    ends = np.zeros(width, np.int64)
+    for at, lane in heap:
+        ends[lane] = at
+    by = np.argsort(-ends, kind="stable")
+    rank = np.empty(width, np.int64)
+    rank[by] = np.arange(width)
+    place[:, 0] = rank[place[:, 0]]
+    return place, ends[by]
 
 
 class Grid:
-    """Inputs, targets and documents of all steps: (steps, lanes) arrays; target -1 where a lane has ended."""
+    """Inputs, targets and documents of all cells, step by step; a step's cells are its lanes in order."""
 
     def __init__(self, symbols: np.ndarray, heads: np.ndarray, start_symbol: int, width: int):
         lengths = np.diff(heads)
-        place, steps = lanes(lengths, width)
-        b = int(place[:, 0].max()) + 1 if len(place) else 0
+        place, ends = lanes(lengths, width)
+        steps = int(ends[0]) if len(ends) else 0
+        self.active = len(ends) - np.searchsorted(ends[::-1], np.arange(steps), side="right")
+        self.first = np.concatenate([[0], np.cumsum(self.active)])
         doc = np.repeat(np.arange(len(lengths)), lengths)
         within = np.arange(len(symbols)) - heads[doc]
-        at = (place[doc, 1] + within) * b + place[doc, 0]
+        at = self.first[place[doc, 1] + within] + place[doc, 0]
         before = np.concatenate([[start_symbol], symbols[:-1]]) if len(symbols) else symbols
         before = np.where(within == 0, start_symbol, before)
-        self.inputs, self.targets, self.docs = (np.full(steps * b, x, np.int32) for x in (start_symbol, -1, -1))
+        self.inputs, self.targets, self.docs = (np.empty(len(symbols), np.int32) for _ in range(3))
         self.inputs[at], self.targets[at], self.docs[at] = before, symbols, doc
-        self.inputs, self.targets, self.docs = (x.reshape(steps, b) for x in (self.inputs, self.targets, self.docs))
-        self.start = start_symbol
-
-    def windows(self, steps: int) -> Iterator[slice]:
-        for a in range(0, len(self.inputs), steps):
-            yield slice(a, a + steps)
-
-
-def _run_window(p: Params, h: np.ndarray, x: np.ndarray, start: int, keep: bool):
-    """States after each step of a window, from state h; with ``keep`` also what going back needs."""
-    hidden = h.shape[1]
-    states = np.empty((*x.shape, hidden), np.float32)
-    saved = []
-    starts = x == start
-    begun = starts.any(axis=1).tolist()
-    two, flip = 2 * hidden, np.float32(-1)
-    inner = p["inner"].copy()
-    inner[:, :two] *= flip
-    inputs = p["inputs"].copy()
-    inputs[:, :two] *= flip
-    for t in range(len(x)):
-        fresh = starts[t]
-        if begun[t]:
-            h = np.where(fresh[:, None], np.float32(0), h)
-        a = inputs[x[t]]
-        u = h @ inner
-        gates = a[:, :two] + u[:, :two]
-        np.minimum(gates, 60, out=gates)
-        np.exp(gates, out=gates)
-        gates += 1
-        np.reciprocal(gates, out=gates)
-        r, z = gates[:, :hidden], gates[:, hidden:]
-        n = np.tanh(a[:, two:] + r * u[:, two:])
-        new = n + z * (h - n)
-        if keep:
-            saved.append((h, r, z, n, u[:, two:], fresh))
-        states[t] = h = new
-    return states, h, saved
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
-def _outputs(p: Params, states: np.ndarray, targets: np.ndarray, grads: Params | None = None):
-    """Log probabilities of the targets; with grads, adds the gradients and returns that of the states."""
-    classes, members, _ = p["words"].shape
-    cls, member = np.divmod(targets, members)
-    lc = _log_softmax(states @ p["classes"] + p["class_bias"])
-    rows = np.arange(len(targets))
-    logp = lc[rows, cls]
-    order = np.argsort(cls, kind="stable")
-    heads = np.searchsorted(cls[order], np.arange(classes + 1))
-    d = None
-    if grads is not None:
-        dc = np.exp(lc)
-        dc[rows, cls] -= 1
-        grads["classes"] += states.T @ dc
-        grads["class_bias"] += dc.sum(0)
-        d = dc @ p["classes"].T
-    for c in np.flatnonzero(np.diff(heads)).tolist():
-        r = order[heads[c] : heads[c + 1]]
-        s = states[r]
-        lw = _log_softmax(s @ p["words"][c].T + p["word_bias"][c])
-        i = np.arange(len(r))
-        logp[r] += lw[i, member[r]]
-        if grads is not None:
-            dw = np.exp(lw)
-            dw[i, member[r]] -= 1
-            grads["words"][c] += dw.T @ s
-            grads["word_bias"][c] += dw.sum(0)
-            d[r] += dw @ p["words"][c]
-    return logp, d
-
-
-def _log_sums(x: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Row-wise log of the sum of exponentials; logits this model can reach are far from overflow, larger ones are cut."""
-    np.minimum(x, 80, out=x)
-    return np.log(np.exp(x) @ ones[: x.shape[1]])
+        self.lanes = int(self.active[0]) if steps else 0
+
+    def windows(self, steps: int, cells: int | None = None) -> Iterator[tuple[int, int]]:
+        """Ranges of ``steps`` steps; with ``cells``, of as many as hold about so many cells."""
+        a, n = 0, len(self.active)
+        while a < n:
+            b = min(n, a + steps)
+            if cells is not None:
+                b = min(n, max(a + 1, int(np.searchsorted(self.first, self.first[a] + cells, side="right")) - 1))
+            yield a, b
+            a = b
+
+
+class _Cell:
+    """The recurrence, with the signs of both gates turned so that a gate is 1 / (1 + exp(x))."""
+
+    def __init__(self, p: Params, start: int):
+        self.hidden, self.start = p["inner"].shape[0], start
+        sign = np.ones(3 * self.hidden, F32)
+        sign[: 2 * self.hidden] = -1
+        self.inner, self.inputs = p["inner"] * sign, p["inputs"] * sign
+
+    def run(self, h: np.ndarray, x: np.ndarray, active: list[int], keep: bool):
+        """States of all cells from state h; with ``keep`` also (state before, r, z, n, candidate's inner part) of each."""
+        two = 2 * self.hidden
+        a = self.inputs[x]
+        fresh = x == self.start
+        states = np.empty((len(x), self.hidden), F32)
+        kept = [np.empty_like(states) for _ in range(5)] if keep else None
+        at = 0
+        for n in active:
+            cells = slice(at, at + n)
+            at += n
+            h = h[:n]
+            if fresh[cells].any():
+                h = np.where(fresh[cells, None], F32(0), h)
+            u = h @ self.inner
+            gates = a[cells, :two]
+            gates += u[:, :two]
+            np.minimum(gates, 60, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            r, z = gates[:, : self.hidden], gates[:, self.hidden :]
+            un = u[:, two:]
+            c = r * un
+            c += a[cells, two:]
+            np.tanh(c, out=c)
+            if keep:
+                for full, part in zip(kept, (h, r, z, c, un), strict=True):
+                    full[cells] = part
+            new = h - c
+            new *= z
+            new += c
+            states[cells] = h = new
+        return states, h, kept
+
+
+def _exp_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(x - m) in place of x, and m: the row maxima where a value is large, else 0."""
+    m = np.zeros((len(x), 1), F32)
+    if len(x) and (x.max() > 60 or x.min() < -60):
+        m = x.max(axis=1, keepdims=True)
+        x -= m
+    np.exp(x, out=x)
+    return x, m
 
 
 class _Scorer:
-    """Log probabilities of targets, with biases folded into the products and no array of all probabilities."""
+    """Log probabilities of targets, with biases folded into the products."""
 
     def __init__(self, p: Params):
         self.classes = np.concatenate([p["classes"], p["class_bias"][None]])
         self.words = np.concatenate([p["words"].transpose(0, 2, 1), p["word_bias"][:, None]], axis=1)
-        self.ones = np.ones(max(self.classes.shape[1], self.words.shape[2]), np.float32)
+        self.ones = np.ones(max(self.classes.shape[1], self.words.shape[2]), F32)
 
     def __call__(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """states end with a column of ones."""
-        cls, member = np.divmod(targets, self.words.shape[2])
-        order = np.argsort(cls, kind="stable")
+        members = self.words.shape[2]
+        cls, member = np.divmod(targets, members)
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
         heads = np.searchsorted(cls[order], np.arange(len(self.words) + 1))
-        states, cls, member = states[order], cls[order], member[order]
-        x = states @ self.classes
-        out = x[np.arange(len(x)), cls] - _log_sums(x, self.ones)
+        full = np.ones((len(states), states.shape[1] + 1), F32)
+        full[:, :-1] = states[order]
+        cls, member = cls[order], member[order]
+        out = self._picked(full @ self.classes, cls)
         for c in np.flatnonzero(np.diff(heads)).tolist():
             r = slice(heads[c], heads[c + 1])
-            x = states[r] @ self.words[c]
-            out[r] += x[np.arange(len(x)), member[r]] - _log_sums(x, self.ones)
+            out[r] += self._picked(full[r] @ self.words[c], member[r])
         back = np.empty_like(out)
         back[order] = out
         return back
 
+    def _picked(self, x: np.ndarray, column: np.ndarray) -> np.ndarray:
+        mine = x[np.arange(len(x)), column]
+        e, m = _exp_rows(x)
+        return mine - (m[:, 0] + np.log(e @ self.ones[: e.shape[1]]))
+
 
-def log_probabilities(p: Params, symbols: np.ndarray, heads: np.ndarray, width: int = 256, steps: int = 256) -> np.ndarray:
+def log_probabilities(p: Params, symbols: np.ndarray, heads: np.ndarray, width: int = 256, cells: int = 32_768) -> np.ndarray:
     """Natural log probability of each document's symbols (document d is symbols[heads[d]:heads[d + 1]])."""
     start = len(p["inputs"]) - 1
     grid = Grid(symbols, heads, start, width)
     out = np.zeros(len(heads) - 1)
-    h = np.zeros((grid.inputs.shape[1] if grid.inputs.size else 0, p["inner"].shape[0]), np.float32)
-    score = _Scorer(p)
-    for w in grid.windows(steps):
-        states, h, _ = _run_window(p, h, grid.inputs[w], start, False)
-        valid = grid.targets[w] >= 0
-        states = np.concatenate([states[valid], np.ones((int(valid.sum()), 1), np.float32)], axis=1)
-        logp = score(states, grid.targets[w][valid])
-        out += np.bincount(grid.docs[w][valid], weights=logp, minlength=len(out))
+    h = np.zeros((grid.lanes, p["inner"].shape[0]), F32)
+    cell, score = _Cell(p, start), _Scorer(p)
+    for a, b in grid.windows(1, cells):
+        w = slice(grid.first[a], grid.first[b])
+        states, h, _ = cell.run(h, grid.inputs[w], grid.active[a:b].tolist(), False)
+        out += np.bincount(grid.docs[w], weights=score(states, grid.targets[w]), minlength=len(out))
     return out
 
 
+def _outputs(p: Params, states: np.ndarray, targets: np.ndarray, grads: Params) -> np.ndarray:
+    """Adds the gradients of minus the targets' log probabilities and returns that of the states."""
+    classes, members, _ = p["words"].shape
+    cls, member = np.divmod(targets, members)
+    order = np.argsort(cls.astype(np.uint16), kind="stable")
+    heads = np.searchsorted(cls[order], np.arange(classes + 1))
+    states, cls, member = states[order], cls[order], member[order]
+    rows, ones = np.arange(len(targets)), np.ones(max(classes, members), F32)
+
+    def errors(x: np.ndarray, column: np.ndarray) -> np.ndarray:
+        e, _ = _exp_rows(x)
+        e *= (1 / (e @ ones[: e.shape[1]]))[:, None]
+        e[rows[: len(e)], column] -= 1
+        return e
+
+    dc = errors(states @ p["classes"] + p["class_bias"], cls)
+    grads["classes"] += states.T @ dc
+    rows_one = np.ones(len(targets), F32)
+    grads["class_bias"] += rows_one @ dc
+    d = dc @ p["classes"].T
+    for c in np.flatnonzero(np.diff(heads)).tolist():
+        r = slice(heads[c], heads[c + 1])
+        s, words = states[r], p["words"][c]
+        dw = errors(s @ words.T + p["word_bias"][c], member[r])
+        grads["words"][c] += dw.T @ s
+        grads["word_bias"][c] += rows_one[: len(dw)] @ dw
+        d[r] += dw @ words
+    back = np.empty_like(d)
+    back[order] = d
+    return back
+
+
+def _cut(heads: np.ndarray, longest: int) -> np.ndarray:
+    """Heads of the parts of at most ``longest`` symbols."""
+    parts = -(-np.diff(heads) // longest)
+    first = np.cumsum(parts) - parts
+    within = np.arange(int(parts.sum())) - np.repeat(first, parts)
+    return np.append(np.repeat(heads[:-1], parts) + within * longest, heads[-1])
+
+
 class Trainer:
     """AdaGrad over windows of truncated back-propagation."""
 
-    def __init__(self, p: Params, rate: float = 0.08):
-        self.p, self.rate = p, rate
-        self.squares = {k: np.full_like(v, 1e-3) for k, v in p.items()}
+    def __init__(self, p: Params, rate: float = 0.08, squares: Params | None = None, seen: int = 0):
+        """squares, seen: the sums of squared gradients and the symbols of training before this."""
+        self.p, self.rate, self.seen = p, rate, seen
+        self.squares = squares or {k: np.full_like(v, 1e-3) for k, v in p.items()}
+
+    def learn(self, symbols: np.ndarray, heads: np.ndarray) -> None:
+        """One pass over the documents, in batches of more lanes the more symbols were seen."""
+        d, n = 0, len(heads) - 1
+        while d < n:
+            width = next((w for w, below in WIDTHS if self.seen < below), WIDEST)
+            e = min(n, max(d + 1, int(np.searchsorted(heads, heads[d] + 4096 * width))))
+            self.fit(symbols[heads[d] : heads[e]], heads[d : e + 1] - heads[d], width)
+            self.seen += int(heads[e] - heads[d])
+            d = e
 
     def _update(self, name: str, rows, g: np.ndarray) -> None:
         s = self.squares[name][rows] + g * g
         self.squares[name][rows] = s
-        self.p[name][rows] -= self.rate * g / np.sqrt(s)
+        np.sqrt(s, out=s)
+        g = g / s
+        g *= self.rate
+        self.p[name][rows] -= g
 
-    def fit(self, symbols: np.ndarray, heads: np.ndarray, width: int = 64, steps: int = 32) -> None:
-        """One pass over the documents."""
+    def fit(self, symbols: np.ndarray, heads: np.ndarray, width: int = 128, steps: int = 32, longest: int = 1024) -> None:
+        """One pass over the documents; a long one is learnt from in parts of ``longest`` symbols, side by side."""
         p = self.p
         start, hidden = len(p["inputs"]) - 1, p["inner"].shape[0]
-        grid = Grid(symbols, heads, start, width)
-        if not grid.inputs.size:
-            return
-        h = np.zeros((grid.inputs.shape[1], hidden), np.float32)
-        for w in grid.windows(steps):
-            x, y = grid.inputs[w], grid.targets[w]
-            states, h_next, saved = _run_window(p, h, x, start, True)
-            valid = y >= 0
-            count = int(valid.sum())
+        two = 2 * hidden
+        grid = Grid(symbols, _cut(heads, longest), start, width)
+        h = np.zeros((grid.lanes, hidden), F32)
+        for a, b in grid.windows(steps):
+            w = slice(grid.first[a], grid.first[b])
+            x, y, active = grid.inputs[w], grid.targets[w], grid.active[a:b].tolist()
+            states, h, (before, r, z, n, un) = _Cell(p, start).run(h, x, active, True)
             grads = {k: np.zeros_like(v) for k, v in p.items() if k != "inputs"}
-            _, d = _outputs(p, states[valid], y[valid], grads)
-            back = np.zeros_like(states)
-            back[valid] = d
-            dx = np.zeros((*x.shape, 3 * hidden), np.float32)
-            carry = np.zeros_like(h)
-            for t in range(len(x) - 1, -1, -1):
-                before, r, z, n, un, fresh = saved[t]
-                dh = back[t] + carry
-                dn = dh * (1 - z) * (1 - n * n)
-                dz = dh * (before - n) * z * (1 - z)
-                dr = dn * un * r * (1 - r)
-                du = np.concatenate([dr, dz, dn * r], axis=1)
-                dx[t] = np.concatenate([dr, dz, dn], axis=1)
-                grads["inner"] += before.T @ du
-                carry = dh * z + du @ p["inner"].T
-                if fresh.any():
-                    carry[fresh] = 0
-            scale = np.float32(1 / max(count, 1))
-            flat, gx = x[valid], dx[valid]
-            order = np.argsort(flat, kind="stable")
-            ids, first = np.unique(flat[order], return_index=True)
+            back = _outputs(p, states, y, grads)
+            for_n = (1 - z) * (1 - n * n)
+            for_z = (before - n) * z * (1 - z)
+            for_r = un * r * (1 - r)
+            dx, du = (np.empty((len(x), 3 * hidden), F32) for _ in range(2))
+            inner, fresh = p["inner"].T.copy(), x == start
+            carry = np.zeros((active[-1], hidden), F32)
+            at = len(x)
+            for count in reversed(active):
+                cells = slice(at - count, at)
+                at -= count
+                dh = back[cells]
+                dh[: len(carry)] += carry
+                dn = dh * for_n[cells]
+                dx[cells, :hidden] = dn * for_r[cells]
+                dx[cells, hidden:two] = dh * for_z[cells]
+                dx[cells, two:] = dn
+                du[cells, :two] = dx[cells, :two]
+                du[cells, two:] = dn * r[cells]
+                carry = dh * z[cells]
+                carry += du[cells] @ inner
+                if fresh[cells].any():
+                    carry[fresh[cells]] = 0
+            grads["inner"] += before.T @ du
+            scale = F32(1 / max(len(x), 1))
+            order = np.argsort(x.astype(np.uint16) if start < 65_536 else x, kind="stable")
+            ids, first = np.unique(x[order], return_index=True)
             if len(ids):
-                self._update("inputs", ids, np.add.reduceat(gx[order], first, axis=0) * scale)
+                self._update("inputs", ids, np.add.reduceat(dx[order], first, axis=0) * scale)
             for k, g in grads.items():
-                self._update(k, slice(None), np.clip(g * scale, -5, 5))
-            h = h_next
+                g *= scale
+                self._update(k, slice(None), np.clip(g, -5, 5, out=g))
 
 
 def flatten(p: Params) -> np.ndarray:
@@ -248,6 +306,6 @@ def flatten(p: Params) -> np.ndarray:
 def unflatten(flat: np.ndarray, like: Params) -> Params:
     out, at = {}, 0
     for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(F32)
         at += like[k].size
     return out

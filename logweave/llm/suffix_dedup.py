@@ -34,10 +34,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm import textkernel as tk
+from logweave.llm.packs import batch_rows, deal, pack, unpack
+from logweave.llm.small_side import bounded_batches
 from logweave.llm.suffix_runs import front_code, front_decode, merged
 from logweave.plans.scratch import written
 
@@ -150,71 +152,28 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, plan: Plan) -> tuple[np.ndarra
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-# Packs: named arrays in one compressed binary, by planes of bytes.
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    parts = [struct.pack("<B", len(arrays))]
-    for x in arrays:
-        planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T) if len(x) else np.zeros((0, 0), np.uint8)
-        parts.append(struct.pack("<3sQ", x.dtype.str[1:].encode().ljust(3), len(x)))
-        parts.append(planes.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
-
-
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    out, at = [], 1
-    for _ in range(data[0]):
-        kind, n = struct.unpack_from("<3sQ", data, at)
-        dtype = np.dtype("<" + kind.decode().strip())
-        at += 11
-        size = n * dtype.itemsize
-        planes = np.frombuffer(data, np.uint8, count=size, offset=at).reshape(dtype.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).view(dtype).reshape(n))
-        at += size
-    return out
-
-
-def _deal(where: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(where, kind="stable")
-    heads = np.searchsorted(where[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        if heads[b] < heads[b + 1]:
-            yield b, order[heads[b] : heads[b + 1]]
-
-
 def _first_of(*columns: np.ndarray) -> np.ndarray:
     """Order of the rows by the columns, the first leading."""
     return np.lexsort(columns[::-1])
 
 
 def _doc_bucket(doc: np.ndarray, version: np.ndarray, buckets: int) -> np.ndarray:
-    return (tk.mix(doc.view(U64) ^ (version.astype(U64) << U64(32))) % U64(buckets)).astype(np.int64)
-
-
-def _versions(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 32-bit hash of each whole text, which tells rows that repeat a doc_id apart."""
-    return np.array([int.from_bytes(hashlib.blake2b(buf[a:b], digest_size=4).digest(), "little") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.uint32)
-
-
-def _batch_rows(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"bucket": pa.int32(), "kind": pa.int32(), "pack": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[n]) for i, n in enumerate(names)], names=names)
+    return (tk.mix(doc.view(U64) ^ (version.view(U64) << U64(1))) % U64(buckets)).astype(np.int64)
 
 
 def _covered(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, version: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    for b, rows in _deal(_doc_bucket(doc, version, buckets), buckets):
-        yield b, 0, _pack(doc[rows], version[rows], lo[rows], hi[rows])
+    for b, rows in deal(_doc_bucket(doc, version, buckets), buckets):
+        yield b, 0, pack(doc[rows], version[rows], lo[rows], hi[rows])
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Bytes, offsets and doc ids of a few MB of texts at a time."""
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Bytes, offsets, doc ids and versions of a few MB of texts at a time."""
     for batch in batches:
         buf, offsets = tk.utf8(tk.column(batch, "text"))
         doc = tk.int64s(tk.column(batch, "doc_id"), _NULL_ID)
+        version = tk.int64s(tk.column(batch, "version"))
         for a, b in tk.chunks(offsets, 8 << 20):
-            yield buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], doc[a:b]
+            yield buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], doc[a:b], version[a:b]
 
 
 def _list_anchors(plan: Plan, buckets: int):
@@ -222,8 +181,8 @@ def _list_anchors(plan: Plan, buckets: int):
     left, length = plan.span - 1, plan.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for buf, offsets, doc_of in _parts(batches):
-            version_of, size_of = _versions(buf, offsets), np.diff(offsets)
+        for buf, offsets, doc_of, version_of in _parts(batches):
+            size_of = np.diff(offsets)
             row, pos, kh, ch = anchors(buf, offsets, plan)
             if not len(row):
                 continue
@@ -236,12 +195,12 @@ def _list_anchors(plan: Plan, buckets: int):
             cover = again & (hi - lo >= length)
             rows = list(_covered(lo[cover], hi[cover], doc[cover], version[cover], buckets))
             keep = ~again
-            docs, at = np.unique(np.stack([doc[keep], version[keep].astype(np.int64), size[keep]]), axis=1, return_inverse=True)
+            docs, at = np.unique(np.stack([doc[keep], version[keep], size[keep]]), axis=1, return_inverse=True)
             kh, ch, pos, at = kh[keep], ch[keep], pos[keep], at.reshape(-1)
-            for b, r in _deal((tk.mix(kh) % U64(buckets)).astype(np.int64), buckets):
+            for b, r in deal((tk.mix(kh) % U64(buckets)).astype(np.int64), buckets):
                 mine, index = np.unique(at[r], return_inverse=True)
-                rows.append((b, 1, _pack(kh[r], ch[r], index.astype(np.uint32), pos[r].astype(np.uint64), docs[0][mine], docs[1][mine].astype(np.uint32), docs[2][mine])))
-            yield _batch_rows(["bucket", "kind", "pack"], rows)
+                rows.append((b, 1, pack(kh[r], ch[r], index.astype(np.uint32), pos[r].astype(np.uint64), docs[0][mine], docs[1][mine], docs[2][mine])))
+            yield batch_rows(["bucket", "kind", "pack"], rows)
 
     return run
 
@@ -260,7 +219,7 @@ def _settle(plan: Plan, buckets: int, hot: int):
     left, length = plan.span - 1, plan.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_unpack(p.as_py()) for b in batches for p in b.column("pack")]
+        parts = [unpack(p.as_py()) for b in batches for p in b.column("pack")]
         if not parts:
             return
         kh, ch, pos = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3))
@@ -287,9 +246,9 @@ def _settle(plan: Plan, buckets: int, hot: int):
         still = begins & (contexts[grams] > 1)
         kh = np.where(contexts[grams] > hot, kh | _HOT_BIT, kh)
         doc, version, pos, kh = doc[still], version[still], pos[still], kh[still]
-        out += [(b, 1, _pack(doc[r], version[r], pos[r], kh[r])) for b, r in _deal(_doc_bucket(doc, version, buckets), buckets)]
+        out += [(b, 1, pack(doc[r], version[r], pos[r], kh[r])) for b, r in deal(_doc_bucket(doc, version, buckets), buckets)]
         if out:
-            yield _batch_rows(["bucket", "kind", "pack"], out)
+            yield batch_rows(["bucket", "kind", "pack"], out)
 
     return run
 
@@ -299,22 +258,21 @@ def _pack_texts(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for buf, offsets, doc in _parts(batches):
-            version = _versions(buf, offsets)
+        for buf, offsets, doc, version in _parts(batches):
             rows = []
-            for b, r in _deal(_doc_bucket(doc, version, buckets), buckets):
+            for b, r in deal(_doc_bucket(doc, version, buckets), buckets):
                 text = b"".join(buf[offsets[i] : offsets[i + 1]].tobytes() for i in r.tolist())
-                head = _pack(doc[r], version[r], np.diff(offsets)[r])
+                head = pack(doc[r], version[r], np.diff(offsets)[r])
                 rows.append((b, 2, struct.pack("<Q", len(head)) + head + squeeze.compress(text)))
-            yield _batch_rows(["bucket", "kind", "pack"], rows)
+            yield batch_rows(["bucket", "kind", "pack"], rows)
 
     return run
 
 
-def _texts(pack: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
-    (n,) = struct.unpack_from("<Q", pack)
-    doc, version, size = _unpack(pack[8 : 8 + n])
-    return doc, version, np.concatenate([[0], np.cumsum(size)]), zstandard.ZstdDecompressor().decompress(pack[8 + n :], max_output_size=int(size.sum()) + 1)
+def _texts(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    (n,) = struct.unpack_from("<Q", blob)
+    doc, version, size = unpack(blob[8 : 8 + n])
+    return doc, version, np.concatenate([[0], np.cumsum(size)]), zstandard.ZstdDecompressor().decompress(blob[8 + n :], max_output_size=int(size.sum()) + 1)
 
 
 def _lists_then_texts(batches: Iterator[pa.RecordBatch], width: int):
@@ -322,9 +280,9 @@ def _lists_then_texts(batches: Iterator[pa.RecordBatch], width: int):
     lists: list[list[np.ndarray]] = []
     keyed = None
     for batch in batches:
-        for kind, pack in zip(batch.column("kind").to_pylist(), batch.column("pack"), strict=True):
+        for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("pack"), strict=True):
             if kind < 2:
-                lists.append(_unpack(pack.as_py()))
+                lists.append(unpack(blob.as_py()))
                 continue
             if keyed is None:
                 columns = [np.concatenate([x[i] for x in lists]) for i in range(width)] if lists else [np.zeros(0, np.int64)] * width
@@ -335,7 +293,7 @@ def _lists_then_texts(batches: Iterator[pa.RecordBatch], width: int):
                 heads = np.append(np.flatnonzero(new), len(order))
                 keyed = {(int(columns[0][h]), int(columns[1][h])): (int(h), int(e)) for h, e in zip(heads[:-1], heads[1:], strict=True)}
                 lists.clear()
-            yield keyed, columns, _texts(pack.as_py())
+            yield keyed, columns, _texts(blob.as_py())
 
 
 def _cut_suffixes(plan: Plan, buckets: int):
@@ -349,16 +307,16 @@ def _cut_suffixes(plan: Plan, buckets: int):
         def runs() -> pa.RecordBatch:
             where = (tk.mix(np.array(grams, U64)) % U64(buckets)).astype(np.int64)
             out = []
-            for b, r in _deal(where, buckets):
+            for b, r in deal(where, buckets):
                 order = sorted(r.tolist(), key=suffixes.__getitem__)
                 lcps, lengths, rest = front_code([suffixes[i] for i in order])
                 before = [lefts[i] for i in order]
-                numbers = (np.array([x[i] for i in order], t) for x, t in ((docs, np.int64), (versions, np.uint32), (poss, np.int64)))
+                numbers = (np.array([x[i] for i in order], t) for x, t in ((docs, np.int64), (versions, np.int64), (poss, np.int64)))
                 arrays = [np.frombuffer(x, np.uint8) for x in (lcps, lengths, rest, bytes(map(len, before)), b"".join(before))]
-                out.append((b, 2, _pack(*numbers, *arrays)))
+                out.append((b, 2, pack(*numbers, *arrays)))
             for x in (docs, versions, poss, grams, suffixes, lefts):
                 x.clear()
-            return _batch_rows(["bucket", "kind", "pack"], out)
+            return batch_rows(["bucket", "kind", "pack"], out)
 
         for keyed, (_, _, pos, kh), (doc, version, offsets, text) in _lists_then_texts(batches, 4):
             for i, key in enumerate(zip(doc.tolist(), version.tolist(), strict=True)):
@@ -393,7 +351,7 @@ def _windows_of(hot: list[tuple[int, int, int, bytes, bytes]], plan: Plan, bucke
     """Every window around the anchors of hot k-grams by a 128-bit hash: of equal ones the first goes on, by
     hash (kind 1), the others are covered (kind 0, by document)."""
     left, length = plan.span - 1, plan.length
-    doc, version, pos = (np.array([h[i] for h in hot], t) for i, t in ((0, np.int64), (1, np.uint32), (2, np.int64)))
+    doc, version, pos = (np.array([h[i] for h in hot], t) for i, t in ((0, np.int64), (1, np.int64), (2, np.int64)))
     before, after = (np.array([len(h[i]) for h in hot]) for i in (3, 4))
     buf = np.frombuffer(b"".join(h[3] + h[4] for h in hot), np.uint8)
     at = np.cumsum(before + after) - after
@@ -405,7 +363,7 @@ def _windows_of(hot: list[tuple[int, int, int, bytes, bytes]], plan: Plan, bucke
         a = at[rows] - back
         parts.append((first.of(a, a + length), second.of(a, a + length), doc[rows], version[rows], pos[rows] - back))
     out = _first_windows_of(*(np.concatenate(c) for c in zip(*parts, strict=True)), length, buckets, True)
-    return _batch_rows(["bucket", "kind", "pack"], out)
+    return batch_rows(["bucket", "kind", "pack"], out)
 
 
 def _first_windows_of(h1, h2, doc, version, start, length: int, buckets: int, go_on: bool) -> list[tuple[int, int, bytes]]:
@@ -415,9 +373,9 @@ def _first_windows_of(h1, h2, doc, version, start, length: int, buckets: int, go
     out = list(_covered(start[again], start[again] + length, doc[again], version[again], buckets))
     if go_on:
         keep = np.flatnonzero(~again)
-        for b, r in _deal((tk.mix(h1[keep]) % U64(buckets)).astype(np.int64), buckets):
+        for b, r in deal((tk.mix(h1[keep]) % U64(buckets)).astype(np.int64), buckets):
             r = keep[r]
-            out.append((b, 1, _pack(h1[r], h2[r], doc[r], version[r], start[r])))
+            out.append((b, 1, pack(h1[r], h2[r], doc[r], version[r], start[r])))
     return out
 
 
@@ -425,11 +383,11 @@ def _settle_windows(plan: Plan, buckets: int):
     """Windows of a hash bucket to covered ranges: all but the first of equal ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_unpack(p.as_py()) for b in batches for p in b.column("pack")]
+        parts = [unpack(p.as_py()) for b in batches for p in b.column("pack")]
         if parts:
             out = _first_windows_of(*(np.concatenate([p[i] for p in parts]) for i in range(5)), plan.length, buckets, False)
             if out:
-                yield _batch_rows(["bucket", "kind", "pack"], out)
+                yield batch_rows(["bucket", "kind", "pack"], out)
 
     return run
 
@@ -439,7 +397,7 @@ def _compare_windows(plan: Plan, buckets: int):
     span, length = plan.span, plan.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs = [_unpack(p.as_py()) for b in batches for p in b.column("pack")]
+        packs = [unpack(p.as_py()) for b in batches for p in b.column("pack")]
         if not packs:
             return
         runs = [(front_decode(p[3].tobytes(), p[4].tobytes(), p[5].tobytes()), p[3].tolist()) for p in packs]
@@ -478,7 +436,7 @@ def _compare_windows(plan: Plan, buckets: int):
         lo, hi = pos[row] - (high - 1), pos[row] - low + length
         out = list(_covered(lo, hi, doc[row], version[row], buckets))
         if out:
-            yield _batch_rows(["bucket", "kind", "pack"], out)
+            yield batch_rows(["bucket", "kind", "pack"], out)
 
     return run
 
@@ -510,12 +468,16 @@ def _strike_out(with_text: bool):
     return run
 
 
+def text_version(text: Column) -> Column:
+    """A hash of a whole text, null being empty, which tells rows that repeat a doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """What is left of every document without its repeated ``length``-byte strings.
 
     docs has doc_id (integer) and text.  Returns doc_id, n_bytes, n_removed, n_spans
-    (maximal removed runs), kept_sha256 (lowercase hex), version (a hash that tells rows
-    that repeat a doc_id apart) and, if asked for, kept (the remaining bytes; else null).
+    (maximal removed runs), kept_sha256 (lowercase hex), version (``text_version``) and, if asked for, kept (the remaining bytes; else null).
     One row for each row of docs.  Null and empty texts have no bytes; texts shorter than
     ``length`` lose none.  Rows without a doc_id count as one document that comes first,
     and so do rows that repeat a doc_id: a string is not earlier than itself.  Other
@@ -527,7 +489,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False,
     plan = Plan(length)
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     schema = "bucket int, kind int, pack binary"
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bounded_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_version(F.col("text")).alias("version"))
 
     listed = written(docs.mapInArrow(tk.tidy(_list_anchors(plan, buckets)), schema), "anchors")
     settled = listed.where("kind = 1").repartitionById(buckets, F.col("bucket")).mapInArrow(tk.tidy(_settle(plan, buckets, hot)), schema)

@@ -23,10 +23,6 @@ _MULT = U64(0x9E3779B97F4A7C15)
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _S30, _S27, _S31 = U64(30), U64(27), U64(31)
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 #: One pseudo-random odd-ish code per byte value, from a rule.
 _BYTE = None
 
@@ -57,6 +53,16 @@ def tidy(run: Callable) -> Callable:
     return wrapped
 
 
+def lowered(buf: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return buf + ((buf - np.uint8(65)) < 26) * np.uint8(32)
+
+
+def spaces(buf: np.ndarray) -> np.ndarray:
+    """True for bytes that part words."""
+    return ((buf - np.uint8(9)) <= 4) | (buf == 32)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (splitmix64), elementwise; the argument is not changed."""
     x = x + _MULT
@@ -73,6 +79,20 @@ with np.errstate(over="ignore"):
     _POWERS = np.cumprod(np.concatenate([[U64(1)], np.full(255, U64(0xD6E8FEB86659FD93))]), dtype=U64)
 
 
+#: Bytes whose words are hashed at once.
+_BLOCK = 1 << 17
+_DOWN: list[np.ndarray] = []
+
+
+def _inverse_powers() -> np.ndarray:
+    """p**0 .. p**-(_BLOCK - 1) modulo 2**64."""
+    if not _DOWN:
+        step = U64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+        with np.errstate(over="ignore"):
+            _DOWN.append(np.cumprod(np.concatenate([[U64(1)], np.full(2 * _BLOCK, step)]), dtype=U64))
+    return _DOWN[0]
+
+
 def powers(n: int) -> np.ndarray:
     """p**0 .. p**(n-1) modulo 2**64 for the odd word multiplier p."""
     global _POWERS
@@ -119,14 +139,14 @@ class Words:
     __slots__ = ("buf", "ends", "first", "hashes", "starts")
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray, hashed: bool = True, lower: bool = True):
-        self.buf = buf = _LOWER[buf] if lower else buf
+        self.buf = buf = lowered(buf) if lower else buf
         n = len(buf)
         if n == 0:
             self.starts = self.ends = np.zeros(0, np.int64)
             self.hashes = np.zeros(0, U64)
             self.first = np.zeros(len(offsets), np.int64)
             return
-        word = ~_SPACE[buf]
+        word = ~spaces(buf)
         begin = word.copy()
         begin[1:] &= ~word[:-1]
         edges = offsets[:-1]
@@ -143,19 +163,24 @@ class Words:
         self.hashes = self._hash() if hashed else np.zeros(0, U64)
 
     def _hash(self) -> np.ndarray:
+        """Sum of byte codes times powers of the place in the word, as differences of running sums over a block."""
         starts, ends, out = self.starts, self.ends, np.empty(len(self.starts), U64)
+        up, down = powers(2 * _BLOCK), _inverse_powers()
         a, n = 0, len(starts)
         while a < n:
-            b = max(a + 1, int(np.searchsorted(starts, starts[a] + (1 << 20))))
-            s, lens = starts[a:b], ends[a:b] - starts[a:b]
-            if b - a == 1 and lens[0] > 1 << 20:
-                out[a] = _long_hash(self.buf[s[0] : ends[a]])
+            low = starts[a]
+            b = max(a + 1, int(np.searchsorted(ends, low + 2 * _BLOCK, side="right")))
+            b = min(b, max(a + 1, int(np.searchsorted(starts, low + _BLOCK))))
+            high = ends[b - 1]
+            if high - low > 2 * _BLOCK:
+                out[a] = _long_hash(self.buf[low:high])
             else:
-                heads = np.concatenate([[0], np.cumsum(lens)[:-1]])
-                within = np.arange(int(lens.sum())) - np.repeat(heads, lens)
-                codes = _BYTE[self.buf[within + np.repeat(s, lens)]]
-                codes *= powers(int(lens.max()))[within]
-                out[a:b] = np.add.reduceat(codes, heads)
+                sums = np.zeros(high - low + 1, U64)
+                codes = _BYTE.take(self.buf[low:high], mode="clip")
+                codes *= up[: high - low]
+                np.cumsum(codes, out=sums[1:])
+                s = starts[a:b] - low
+                out[a:b] = (sums[ends[a:b] - low] - sums[s]) * down[s]
             a = b
         return mix(out)
 
@@ -197,7 +222,8 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     for r in short:
         c = int(counts[r])
         seq = h[first[r] : first[r + 1]]
-        out[heads[r]] = (seq * mults[:c]).sum(dtype=U64) + mix(np.array([c], U64))[0]
+        with np.errstate(over="ignore"):
+            out[heads[r]] = (seq * mults[:c]).sum(dtype=U64) + mix(np.array([c], U64))[0]
     return mix(out), heads
 
 

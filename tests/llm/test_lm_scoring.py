@@ -57,8 +57,8 @@ def test_gradients_and_state_across_windows():
     rng = np.random.default_rng(0)
     p = gru.new_params(12, 3, hidden=4)
     symbols, heads = rng.integers(0, 12, 40), np.array([0, 13, 14, 40])
-    whole = gru.log_probabilities(p, symbols, heads, width=2, steps=100)
-    assert np.allclose(whole, gru.log_probabilities(p, symbols, heads, width=1, steps=3), atol=1e-3)
+    whole = gru.log_probabilities(p, symbols, heads, width=2)
+    assert np.allclose(whole, gru.log_probabilities(p, symbols, heads, width=1, cells=3), atol=1e-3)
 
     p = {k: v.astype(np.float64) for k, v in p.items()}
     seen = {}
@@ -76,7 +76,7 @@ def test_gradients_and_state_across_windows():
         f = []
         for e in (1e-3, -1e-3):
             p[name][at] = was + e
-            f.append(-gru.log_probabilities(p, symbols, heads, width=2, steps=100).sum())
+            f.append(-gru.log_probabilities(p, symbols, heads, width=2).sum())
         p[name][at] = was
         assert math.isclose((f[0] - f[1]) / 2e-3, seen[name][at], rel_tol=2e-2, abs_tol=1e-2), name
 
