@@ -1,13 +1,19 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Words are runs of ASCII letters, digits and non-ASCII bytes, lower-cased.  The terms are
-those of the benchmark.  One pass over all passages counts in how many each term
-occurs; a second multiplies the TF-IDF matrix A of all passages, row by row and spread
-over all tasks, into a random block, giving the sketch A'AX.  The latent space is the
-orthonormal basis of that sketch and of the benchmark's own rows, by a small SVD.  A
-third pass projects every window of a document, compares it with all items by cosine,
-and checks candidates by the longest common subsequence of words, and paraphrases also
-by their answer.  Nothing is shuffled but one row of sums for each task.
+Words are runs of ASCII letters, digits and non-ASCII bytes, lower-cased; terms are words
+hashed to ``TERMS`` places, so that the term space has one size whatever the corpus or
+benchmark.  One pass over all texts lists the terms of every passage and counts in how
+many each occurs.  A randomised singular value decomposition of the TF-IDF matrix A of
+all passages follows: two subspace steps Q <- orth(A'AQ) from a random block, each a pass
+over the listed terms that is spread over all tasks and sends one array back for each.
+The leading ``RANK`` right singular vectors fold a piece of text into the latent space,
+divided by their singular values as far as many passages stand behind these: else those
+that tell languages and common words apart would outweigh the rest.  Items of the benchmark
+have no part in that space; they are cut into passages and folded in like any text.
+
+The last pass folds in every window of a document, compares it with all items' passages
+by cosine, and checks candidates by the longest common subsequence of words and, where
+the benchmark gives one, by the item's answer.
 """
 
 from __future__ import annotations
@@ -22,21 +28,37 @@ from pyspark.sql import functions as F
 
 from logweave.llm import textkernel as tk
 from logweave.llm.features import _NOT_WORD
+from logweave.llm.packs import pack, unpack
+from logweave.llm.small_side import bounded_batches, folded
 from logweave.plans.scratch import written
 
-#: Words of a block; a window is so many blocks, and windows begin at every block.
-BLOCK, WINDOW = 16, 3
-#: Items that share one latent space; a larger benchmark takes several rounds.
-ITEMS = 256
-#: Random directions of the sketch.
-PROBES = 32
+#: Words of a block; windows of so many blocks begin at every block: the short one for items' passages of at most SHORT_WORDS.
+BLOCK, SHORT, LONG = 16, 2, 3
+PASSAGE, SHORT_WORDS = BLOCK * LONG, 28
+#: Hashed terms; dimensions of the latent space; further random directions of the decomposition.
+TERM_BITS, RANK, EXTRA = 14, 96, 16
+TERMS = 1 << TERM_BITS
+#: Terms in the most passages, which are multiplied together.
+COMMON = 512
+#: Squared singular values are taken as larger by this (a number of passages), so that directions of few passages are not blown up.
+RIDGE = 50.0
+#: Items' passages that are searched for in one pass; a larger benchmark takes several, in the same space.
+ROUND = 1024
+#: Words of a greater idf, those in fewer than about 1 passage in 50, count as rare.
+RARE = float(np.log(50.0) + 1)
 _SUMS = "at int, sums binary, n bigint"
+_LISTED = "kind int, pack binary, n bigint"
+_FOUND = "doc_id bigint, item_id bigint, cosine double, coverage double, answer double"
 
 
 def _words(buf: np.ndarray, offsets: np.ndarray) -> tk.Words:
     return tk.Words(np.where(_NOT_WORD[buf], np.uint8(32), buf), offsets)
 
 
+def _terms(hashes: np.ndarray) -> np.ndarray:
+    return (tk.mix(hashes) >> np.uint64(64 - TERM_BITS)).astype(np.uint16)
+
+
 def lcs_length(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, one machine word (or more) of bits at a time."""
     where: dict[int, int] = {}
@@ -54,19 +76,22 @@ def lcs_length(a: list[int], b: list[int]) -> int:
 
 @dataclass(frozen=True)
 class Items:
-    """ids and word hashes of the items, their answers' words (the last words, where none is given), and the sorted terms."""
+    """ids and word hashes of the items, and their answers' words (empty where none is given)."""
 
     ids: list[int | None]
     words: list[np.ndarray]
     answers: list[np.ndarray]
-    terms: np.ndarray
 
-    def term_of(self, h: np.ndarray) -> np.ndarray:
-        """Index of each hash among the terms; -1 for other words."""
-        if not len(self.terms):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
-        return np.where(self.terms[at] == h, at, -1)
+    def passages(self) -> tuple[list[int], list[np.ndarray]]:
+        """The item of each passage, and its words: every PASSAGE words, the last ones once more if they leave a short rest."""
+        item, words = [], []
+        for i, w in enumerate(self.words):
+            starts = list(range(0, max(1, len(w) - PASSAGE + 1), PASSAGE))
+            if len(w) > PASSAGE and starts[-1] + PASSAGE < len(w):
+                starts.append(len(w) - PASSAGE)
+            item += [i] * len(starts)
+            words += [w[s : s + PASSAGE] for s in starts]
+        return item, words
 
 
 def _items(rows: list, has_answer: bool) -> Items:
@@ -76,216 +101,323 @@ def _items(rows: list, has_answer: bool) -> Items:
         return [w.hashes[a:b] for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
 
     words = hashes([r["text"] or "" for r in rows])
-    given = hashes([(r["answer"] or "") if has_answer else "" for r in rows])
-    answers = [g if len(g) else w[-max(3, len(w) // 5) :] for g, w in zip(given, words, strict=True)]
+    answers = hashes([(r["answer"] or "") if has_answer else "" for r in rows])
     full = [i for i, w in enumerate(words) if len(w)]
-    terms = np.unique(np.concatenate([words[i] for i in full])) if full else np.zeros(0, np.uint64)
-    return Items([rows[i]["item_id"] for i in full], [words[i] for i in full], [answers[i] for i in full], terms)
+    return Items([rows[i]["item_id"] for i in full], [words[i] for i in full], [answers[i] for i in full])
 
 
-def _passages(w: tk.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Passage of every word, numbered over the rows, and the first passage of each row."""
+def _cut(w: tk.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the first word of every piece of at most ``size`` words, and the first piece of each row (n + 1)."""
     counts = np.diff(w.first)
     per_row = -(-counts // size)
     heads = np.concatenate([[0], np.cumsum(per_row)])
-    row = np.repeat(np.arange(len(counts)), counts)
-    return heads[row] + (np.arange(len(row)) - w.first[row]) // size, heads
-
-
-def _with_zero_row(rows: np.ndarray) -> np.ndarray:
-    return np.concatenate([rows, np.zeros((1, rows.shape[1]))]).astype(np.float32)
-
+    within = np.arange(int(heads[-1])) - np.repeat(heads[:-1], per_row)
+    return np.repeat(w.first[:-1], per_row) + within * size, heads
 
-def _grid(passage: np.ndarray, term: np.ndarray, passages: int, size: int, terms: int) -> np.ndarray:
-    """The terms of each passage in a row of ``size`` places; other words and the rest of a row have the number ``terms``."""
-    first = np.searchsorted(passage, np.arange(passages))
-    grid = np.full((passages, size), terms)
-    grid[passage, np.arange(len(passage)) - first[passage]] = np.where(term >= 0, term, terms)
-    return grid
 
-
-def _row_sums(values: np.ndarray, grid: np.ndarray) -> np.ndarray:
-    """Sum of the values of each grid row, place by place, in parts that stay in the cache."""
-    out = np.empty((len(grid), values.shape[1]), np.float32)
-    for a in range(0, len(grid), 512):
-        part = grid[a : a + 512]
-        acc = values[part[:, 0]]
-        for j in range(1, part.shape[1]):
-            acc += values[part[:, j]]
-        out[a : a + 512] = acc
-    return out
+def _sums_row(total: np.ndarray, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["at", "sums", "n"])
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = None, 0
     for batch in batches:
         for s, m in zip(batch.column("sums"), batch.column("n").to_pylist(), strict=True):
-            x = np.frombuffer(s.as_py(), np.float64)
-            total = x if total is None else total + x
+            x = np.frombuffer(s.as_py(), np.float32)
+            total = x.astype(np.float64) if total is None else total + x
             n += m
     if total is not None:
         yield _sums_row(total, n)
 
 
-def _sums_row(total: np.ndarray, n: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.astype(np.float64).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["at", "sums", "n"])
+def _gather(rows: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """Sum of the arrays of all tasks; the driver gets a single one."""
+    found = folded(rows, _summed, "sums").collect()
+    return sum((np.frombuffer(r.sums, np.float32) for r in found), np.zeros(size)), sum(r.n for r in found)
 
 
-def _gather(texts: DataFrame, run, size: int) -> tuple[np.ndarray, int]:
-    """Sum over all tasks of the arrays that run yields; tasks' rows are first added up in at most 64 tasks."""
-    width = max(1, min(64, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    rows = written(texts.mapInArrow(tk.tidy(run), _SUMS).repartition(width).mapInArrow(_summed, _SUMS), "sums").collect()
-    return sum((np.frombuffer(r.sums, np.float64) for r in rows), np.zeros(size)), sum(r.n for r in rows)
+def _list_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to packs of the terms and lengths of their passages (kind 0) and the number of passages with each term (kind 1)."""
+    df, n = np.zeros(TERMS), 0
 
+    def row(kind: int, blob: bytes, count: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([blob], pa.binary()), pa.array([count], pa.int64())], names=["kind", "pack", "n"])
 
-def _count_passages(items: Items, size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(items.terms)), 0
-        for batch in batches:
-            buf, offsets = tk.utf8(tk.column(batch, "text"))
-            for a, b in tk.chunks(offsets):
-                w = _words(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                passage, heads = _passages(w, size)
-                term = items.term_of(w.hashes)
-                hit = np.flatnonzero(term >= 0)
-                if len(hit):
-                    pairs = np.sort(passage[hit] * len(items.terms) + term[hit])
-                    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
-                    df += np.bincount(pairs % len(items.terms), minlength=len(df))
-                n += int(heads[-1])
-        yield _sums_row(df, n)
+    for batch in batches:
+        buf, offsets = tk.utf8(tk.column(batch, "text"))
+        for a, b in tk.chunks(offsets):
+            w = _words(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            if not len(w.starts):
+                continue
+            first, _ = _cut(w, PASSAGE)
+            term, lengths = _terms(w.hashes), np.diff(np.append(first, len(w.starts)))
+            kind = np.uint32 if len(first) < 1 << (32 - TERM_BITS) else np.uint64
+            pairs = np.sort((np.repeat(np.arange(len(first), dtype=kind), lengths) << kind(TERM_BITS)) | term)
+            pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+            df += np.bincount((pairs & kind(TERMS - 1)).astype(np.int64), minlength=TERMS)
+            n += len(first)
+            yield row(0, pack(term, lengths.astype(np.uint8)), len(first))
+    if n:
+        yield row(1, df.astype(np.float32).tobytes(), n)
+
+
+def _piece_sums(values: np.ndarray, first: np.ndarray, term: np.ndarray, size: int) -> np.ndarray:
+    """Sum of the values of each piece's terms; pieces of the full size, most of all, by one product."""
+    ends = np.append(first[1:], len(term))
+    out = np.empty((len(first), values.shape[1]), np.float32)
+    full = np.flatnonzero(ends - first == size)
+    ones = np.ones((1, size), np.float32)
+    for a in range(0, len(full), max(1, 8192 // size)):
+        at = full[a : a + max(1, 8192 // size)]
+        out[at] = np.matmul(ones, values[term[first[at][:, None] + np.arange(size)]])[:, 0]
+    for i in np.flatnonzero(ends - first != size).tolist():
+        out[i] = values[term[first[i] : ends[i]]].sum(0)
+    return out
 
-    return run
 
+def _add_rows(total: np.ndarray, ids: np.ndarray, rows: np.ndarray, source: np.ndarray) -> None:
+    """total[ids] += source[rows], with ids sorted and repeated, one occurrence of each at a time."""
+    heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(heads, len(ids)))
+    k = 0
+    while len(heads):
+        at = heads + k
+        total[ids[at]] += source[rows[at]]
+        k += 1
+        more = counts > k
+        heads, counts = heads[more], counts[more]
+
+
+def _apply(idf: np.ndarray, block: np.ndarray, common: np.ndarray, part: int = 16_384):
+    """Packs of terms to the sum of A'A block over a task's passages, a few thousand words at a time.
+
+    Terms of ``common`` are counted for each passage and multiplied at once, the others added up.
+    """
+    weighted = (idf[:, None] * block).astype(np.float32)
+    idf = idf.astype(np.float32)
+    place = np.full(TERMS, -1, np.int64)
+    place[common] = np.arange(len(common))
 
-def _sketch(items: Items, idf: np.ndarray, other: float, probe: np.ndarray, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(probe.shape)
-        weighted = _with_zero_row(idf[:, None] * probe)
+        total, any_ = np.zeros(block.shape, np.float32), False
+        of_common = np.zeros((len(common), block.shape[1]), np.float32)
         for batch in batches:
-            buf, offsets = tk.utf8(tk.column(batch, "text"))
-            for a, b in tk.chunks(offsets, 2 << 20):
-                w = _words(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                passage, heads = _passages(w, size)
-                term = items.term_of(w.hashes)
-                weight = np.where(term >= 0, idf[term], other) if len(term) else np.zeros(0)
-                square = np.bincount(passage, weights=weight**2, minlength=int(heads[-1]))
-                hit = np.flatnonzero(term >= 0)
-                if not len(hit):
-                    continue
-                p, t = passage[hit], term[hit]
-                value = idf[t] / np.sqrt(square[p])
-                grid = _grid(passage, term, int(heads[-1]), size, len(items.terms))
-                y = _row_sums(weighted, grid) / np.sqrt(np.maximum(square, 1e-12))[:, None]
-                for j in range(total.shape[1]):
-                    total[:, j] += np.bincount(t, weights=y[p, j] * value, minlength=len(total))
-        yield _sums_row(total.ravel(), 0)
+            for p in batch.column("pack"):
+                terms, lengths = unpack(p.as_py())
+                ends = np.cumsum(lengths.astype(np.int64))
+                a = 0
+                while a < len(ends):
+                    low = int(ends[a - 1]) if a else 0
+                    b = max(a + 1, int(np.searchsorted(ends, low + part, side="right")))
+                    t, size = terms[low : ends[b - 1]], lengths[a:b].astype(np.int64)
+                    heads = np.cumsum(size) - size
+                    y = _piece_sums(weighted, heads, t, PASSAGE)
+                    y /= np.add.reduceat(idf[t] ** 2, heads)[:, None]
+                    passage, slot = np.repeat(np.arange(b - a), size), place[t]
+                    known = slot >= 0
+                    counts = np.bincount(passage[known] * len(common) + slot[known], minlength=(b - a) * len(common))
+                    of_common += counts.reshape(b - a, len(common)).astype(np.float32).T @ y
+                    t, passage = t[~known], passage[~known]
+                    order = np.argsort(t, kind="stable")
+                    _add_rows(total, t[order], passage[order], y)
+                    a, any_ = b, True
+        if any_:
+            total[common] += of_common
+            yield _sums_row((total * idf[:, None]).ravel(), 0)
 
     return run
 
 
-def _find(items: Items, idf: np.ndarray, other: float, basis: np.ndarray, near: float, copied: float, paraphrased: float, answered: float):
-    item_terms = [items.term_of(w) for w in items.words]
-    latent = np.stack([(idf[t][:, None] * basis[t]).sum(0) for t in item_terms])
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    gain = _with_zero_row((idf[:, None] * basis) @ latent.T)  # what a word adds to the product with each item
-    item_words = [w.tolist() for w in items.words]
-    answer_words = [w.tolist() for w in items.answers]
-
-    here = np.zeros(len(items.terms) + 1, bool)
-
-    def judge(i: int, words: np.ndarray, terms: np.ndarray) -> tuple[float, float, bool]:
-        here[terms] = True
-        present = np.count_nonzero(here[item_terms[i]])
-        here[terms] = False
-        if present < paraphrased * len(item_words[i]):  # no subsequence is longer than this
-            return 0.0, 0.0, False
-        words = words.tolist()
-        cover = lcs_length(item_words[i], words) / len(item_words[i])
+def latent_space(texts: DataFrame, rank: int = RANK, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
+    """idf of every hashed term, and the fold-in matrix: idf times right singular vectors over damped singular values.
+
+    texts has a text column.  A's rows are the passages of all texts; the row of a passage
+    holds its words' idf, scaled to about unit length.  Directions whose singular value is under
+    a thousandth of the largest are left out.
+    """
+    listed = written(texts.select("text").mapInArrow(tk.tidy(_list_terms), _LISTED), "terms")
+    df, n = _gather(listed.where("kind = 1").select(F.lit(0).alias("at"), F.col("pack").alias("sums"), "n"), TERMS)
+    idf = np.log((1 + n) / (1 + df)) + 1
+    packs = listed.where("kind = 0").select("pack")
+    block = np.random.default_rng(seed).normal(size=(TERMS, rank + EXTRA)).astype(np.float32)
+    values = np.zeros(0)
+    common = np.argsort(-df, kind="stable")[:COMMON]
+    for _ in range(2):
+        made, _ = _gather(packs.mapInArrow(tk.tidy(_apply(idf, block, common)), _SUMS), block.size)
+        block, values, _ = np.linalg.svd(made.reshape(block.shape), full_matrices=False)
+    keep = np.flatnonzero(values[:rank] > 1e-6 * max(values[0], 1e-30)) if n else np.zeros(0, np.int64)
+    if not len(keep):
+        return idf, np.zeros((TERMS, 0), np.float32)
+    return idf, (idf[:, None] * block[:, keep] / np.sqrt(values[keep] + RIDGE)).astype(np.float32)
+
+
+def fold_in(words: list[np.ndarray], fold: np.ndarray) -> np.ndarray:
+    """Unit latent vectors of lists of word hashes; a zero row where none of the words has a place in the space."""
+    made = np.stack([fold[_terms(w)].sum(0) for w in words]) if words else np.zeros((0, fold.shape[1]), np.float32)
+    return made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)
+
+
+class _RareWords:
+    """A bound on common subsequences: an item of n words of which r are rare shares a part c of its words only with a
+    text that holds at least r - (1 - c) n of its rare ones, repeats counted.  Any choice of rare words gives a bound."""
+
+    def __init__(self, items: Items, idf: np.ndarray, share: float):
+        rare = [w[idf[_terms(w)] > RARE] for w in items.words]
+        self.lengths = np.array([len(w) for w in items.words])
+        self.needed = np.array([len(r) - (1 - share) * len(w) for r, w in zip(rare, items.words, strict=True)])
+        pairs = np.unique(np.stack([np.concatenate(rare), np.repeat(np.arange(len(rare)), [len(r) for r in rare]).astype(np.uint64)]), axis=1) if rare else np.zeros((2, 0), np.uint64)
+        self.words, self.first = np.unique(pairs[0], return_index=True)
+        self.first = np.append(self.first, pairs.shape[1])
+        self.item = pairs[1].astype(np.int64)
+
+    def may_share(self, place: np.ndarray, of_item: np.ndarray, n: int, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether the words lo to hi of n words, with these hits, hold enough of each item's rare words."""
+        places = np.sort(of_item * (n + 1) + place)
+        return np.searchsorted(places, item * (n + 1) + hi) - np.searchsorted(places, item * (n + 1) + lo) >= self.needed[item]
+
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, item) of every rare word of an item among the words h, by place."""
+        if not len(self.words):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        hit = np.flatnonzero(self.words[at] == h)
+        some = self.first[at[hit] + 1] - self.first[at[hit]]
+        inner = np.arange(int(some.sum())) - np.repeat(np.cumsum(some) - some, some)
+        return np.repeat(hit, some), self.item[np.repeat(self.first[at[hit]], some) + inner]
+
+
+def _candidates(w: tk.Words, fold: np.ndarray, sides: list[tuple[int, np.ndarray, np.ndarray]], rare: _RareWords, near: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, first word, words, item, cosine) of windows near an item's passage, some thousand windows at a time.
+
+    Those that hold too few of an item's rare words for a leak are left out at once.
+    """
+    first, heads = _cut(w, BLOCK)
+    row_of = np.repeat(np.arange(len(heads) - 1), np.diff(heads))
+    blocks = _piece_sums(fold, first, _terms(w.hashes), BLOCK)
+    place, of_item = rare.hits(w.hashes)
+    row_hit = np.searchsorted(w.first, place, side="right") - 1
+    for size, latent, item in sides:
+        if not len(item):
+            continue
+        windows = blocks.copy()
+        for j in range(1, size):
+            same = np.flatnonzero(row_of[:-j] == row_of[j:]) if len(first) > j else np.zeros(0, np.int64)
+            windows[same] += blocks[same + j]
+        windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-12)
+        for a in range(0, len(windows), 2048):
+            rows = row_of[a : a + 2048]
+            low, high = int(rows[0]), int(rows[-1]) + 1
+            h = slice(*np.searchsorted(row_hit, [low, high]))
+            n = len(rare.needed)
+            held = np.bincount((row_hit[h] - low) * n + of_item[h], minlength=(high - low) * n).reshape(-1, n) >= rare.needed
+            cos = windows[a : a + 2048] @ latent.T
+            at, p = np.nonzero((cos >= near) & held[rows - low][:, item])
+            row, start, i = row_of[a + at], first[a + at], item[p]
+            reach = rare.lengths[i]
+            able = rare.may_share(place[h], of_item[h], len(w.hashes), i, np.maximum(start - reach, w.first[row]), np.minimum(start + size * BLOCK + reach, w.first[row + 1]))
+            if able.any():
+                yield row[able], start[able], np.full(np.count_nonzero(able), size * BLOCK), i[able], cos[at, p][able]
+
+
+def _find(items: Items, idf: np.ndarray, fold: np.ndarray, near: float, copied: float, paraphrased: float, answered: float):
+    item_of, passages = items.passages()
+    rare = _RareWords(items, idf, paraphrased)
+    latent, item_of = fold_in(passages, fold), np.array(item_of)
+    short = np.array([len(p) <= SHORT_WORDS for p in passages])
+    sides = [(size, latent[mine], item_of[mine]) for size, mine in ((SHORT, short), (LONG, ~short))]
+    listed = [w.tolist() for w in items.words]
+    distinct = [np.unique(w, return_counts=True) for w in items.words]
+
+    def judge(i: int, shared: list[int], region: np.ndarray) -> tuple[float, float, bool]:
+        cover = lcs_length(listed[i], shared) / len(listed[i])
         if cover < paraphrased:
             return cover, 0.0, False
-        reply = lcs_length(answer_words[i], words) / max(1, len(answer_words[i]))
+        if not len(items.answers[i]):
+            return cover, 0.0, True
+        reply = lcs_length(items.answers[i].tolist(), region.tolist()) / len(items.answers[i])
         return cover, reply, cover >= copied or reply >= answered
 
+    def pair(i: int, h: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cosines: np.ndarray) -> tuple[float, float, float] | None:
+        """The best place of an item among a row's windows that stands the check."""
+        n, (words, counts) = len(listed[i]), distinct[i]
+        lo, hi = np.maximum(starts - n, 0), np.minimum(starts + sizes + n, len(h))
+        at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+        shared = np.flatnonzero(words[at] == h)
+        at = at[shared]
+        first, last = np.searchsorted(shared, lo), np.searchsorted(shared, hi)
+        able = np.flatnonzero(last - first >= paraphrased * n)
+        for k in able[np.argsort(-cosines[able], kind="stable")].tolist():
+            here = slice(first[k], last[k])
+            # no common subsequence holds a word more often than the item does
+            if np.minimum(np.bincount(at[here], minlength=len(words)), counts).sum() < paraphrased * n:
+                continue
+            cover, reply, leaked = judge(i, h[shared[here]].tolist(), h[lo[k] : hi[k]])
+            if leaked:
+                return float(cosines[k]), cover, reply
+        return None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            ids = tk.column(batch, "doc_id").to_pylist()
+            ids = tk.column(batch, "doc_id")
             buf, offsets = tk.utf8(tk.column(batch, "text"))
-            for a, b in tk.chunks(offsets, 2 << 20):
+            for a, b in tk.chunks(offsets):
                 w = _words(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 if not len(w.starts):
                     continue
-                block, heads = _passages(w, BLOCK)
-                blocks = int(heads[-1])
-                term = items.term_of(w.hashes)
-                square = np.bincount(block, weights=np.where(term >= 0, idf[term], other) ** 2, minlength=blocks)
-                hit = np.flatnonzero(term >= 0)
-                if not len(hit):
+                parts = list(_candidates(w, fold, sides, rare, near))
+                if not parts:
                     continue
-                row_of = np.repeat(np.arange(b - a), np.diff(heads))
-                made = _row_sums(gain, _grid(block, term, blocks, BLOCK, len(items.terms)))
-                windows, norms = made.copy(), square.copy()
-                for j in range(1, WINDOW):
-                    same = np.flatnonzero(row_of[: blocks - j] == row_of[j:]) if blocks > j else np.zeros(0, np.int64)
-                    windows[same] += made[same + j]
-                    norms[same] += square[same + j]
-                windows /= np.sqrt(np.maximum(norms, 1e-12))[:, None]
-                best: dict[tuple[int, int], list[tuple[float, int]]] = {}
-                for r, i in zip(*(x.tolist() for x in np.nonzero(windows >= near)), strict=True):
-                    best.setdefault((int(row_of[r]), i), []).append((float(windows[r, i]), r))
-                for (row, i), places in best.items():
-                    for cos, place in sorted(places, reverse=True):
-                        n = len(item_words[i])
-                        start = int(w.first[row]) + (place - int(heads[row])) * BLOCK
-                        lo, hi = max(int(w.first[row]), start - n), min(int(w.first[row + 1]), start + WINDOW * BLOCK + n)
-                        cover, reply, leaked = judge(i, w.hashes[lo:hi], term[lo:hi])
-                        if leaked:
-                            found.append((ids[a + row], items.ids[i], cos, cover, reply))
-                            break
+                row, start, size, item, cos = (np.concatenate(c) for c in zip(*parts, strict=True))
+                order = np.lexsort((item, row))
+                row, start, size, item, cos = (x[order] for x in (row, start, size, item, cos))
+                edges = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]), [True]]))
+                for c, d in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    r, i = int(row[c]), int(item[c])
+                    low = int(w.first[r])
+                    best = pair(i, w.hashes[low : w.first[r + 1]], start[c:d] - low, size[c:d], cos[c:d])
+                    if best is not None:
+                        found.append((ids[a + r].as_py(), items.ids[i], *best))
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], k) for j, k in enumerate(kinds)], names=["doc_id", "item_id", "cosine", "coverage", "answer"])
 
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, near: float = 0.2, copied: float = 0.8, paraphrased: float = 0.6, answered: float = 0.5) -> DataFrame:
+def _rounds(items: Items, most: int) -> Iterator[Items]:
+    """The items in groups of about ``most`` passages."""
+    made = np.array([-(-len(w) // PASSAGE) for w in items.words])
+    group = (np.cumsum(made) - made) // most
+    for g in np.unique(group):
+        at = np.flatnonzero(group == g).tolist()
+        yield Items(*([x[i] for i in at] for x in (items.ids, items.words, items.answers)))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, near: float = 0.3, copied: float = 0.8, paraphrased: float = 0.6, answered: float = 0.5, space: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """Documents that hold a benchmark item: doc_id, item_id, cosine, coverage, answer, a row for each pair.
 
     docs has doc_id (integer) and text, benchmark item_id (integer), text and, if known,
-    answer.  A window whose latent cosine with an item is at least ``near`` is a candidate;
-    coverage is the share of the item's words in the longest common subsequence with the
-    text around it.  From ``copied`` on the item has leaked; from ``paraphrased`` on it has
-    if at least the share ``answered`` of its answer's words occurs in order as well.
-
-    Whole texts of all rows are searched.  Null and empty texts hold nothing; items
-    without words are held by nothing.  Rows that repeat a doc_id give their rows each;
-    null ids stay null.  Other columns are not read.  Only the benchmark reaches the
-    driver, ``ITEMS`` items at a time; its terms' counts and its latent space are sent
-    out, whose size depends on ``ITEMS`` and the items' length alone.
+    answer.  A window whose latent cosine with a passage of an item is at least ``near`` is a
+    candidate; coverage is the share of the item's words in the longest common subsequence
+    with the text around it.  From ``copied`` on the item has leaked; from ``paraphrased`` on
+    it has if no answer is given, or if the share ``answered`` of its words occurs in order
+    as well.  space: a latent space of ``latent_space``; by default that of docs.
+
+    Whole texts of all rows are searched, for whole items of any length.  Null and empty
+    texts hold nothing; items without words are held by nothing.  Rows that repeat a doc_id
+    give their rows each; null ids stay null; of ties in cosine the earlier place counts.
+    Other columns are not read.  Only the benchmark and one array of the size of the latent
+    space reach the driver; ``ROUND`` passages of items and that space are sent out.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     has_answer = "answer" in benchmark.columns
     asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", *(["answer"] if has_answer else []))
-    out = spark.createDataFrame([], "doc_id bigint, item_id bigint, cosine double, coverage double, answer double")
-    rounds = -(-asked.count() // ITEMS)
-    for r in range(rounds):
-        part = asked if rounds == 1 else asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == r)
-        items = _items(sorted(part.collect(), key=lambda x: (x["item_id"] is None, x["item_id"] or 0, x["text"] or "")), has_answer)
-        if not items.ids:
-            continue
-        size, terms = BLOCK * WINDOW, len(items.terms)
-        df, n = _gather(texts.select("text"), _count_passages(items, size), terms)
-        idf, other = np.log((1 + n) / (1 + df)) + 1, float(np.log((1 + n) / 2) + 1)
-        probe = np.random.default_rng(17).normal(size=(terms, min(PROBES, terms))).astype(np.float32)
-        sketch, _ = _gather(texts.select("text"), _sketch(items, idf, other, probe, size), probe.size)
-        own = np.zeros((terms, len(items.ids)))
-        for i, w in enumerate(items.words):
-            np.add.at(own[:, i], items.term_of(w), idf[items.term_of(w)])
-        sketch = sketch.reshape(probe.shape)
-        both = np.concatenate([own / np.linalg.norm(own, axis=0), sketch / max(1e-12, np.linalg.norm(sketch, axis=0).max())], axis=1)
-        u, s, _ = np.linalg.svd(both, full_matrices=False)
-        basis = u[:, s > 1e-6 * s[0]]
-        out = out.unionByName(texts.mapInArrow(tk.tidy(_find(items, idf, other, basis, near, copied, paraphrased, answered)), out.schema))
+    items = _items(sorted(asked.collect(), key=lambda x: (x["item_id"] is None, x["item_id"] or 0, x["text"] or "")), has_answer)
+    out = spark.createDataFrame([], _FOUND)
+    if items.ids:
+        idf, fold = space or latent_space(texts)
+        for part in _rounds(items, ROUND):
+            out = out.unionByName(texts.mapInArrow(tk.tidy(_find(part, idf, fold, near, copied, paraphrased, answered)), _FOUND))
     return out

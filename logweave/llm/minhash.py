@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from logweave.llm import textkernel as tk
 from logweave.llm.graph import connected_components
-from logweave.llm.small_side import join_checked
+from logweave.llm.small_side import bounded_batches, join_checked
+from logweave.llm.suffix_dedup import text_version
 from logweave.plans.scratch import written
 
 #: A pair at the least similarity 0.8 misses all bands with probability (1 - 0.8**4)**20, about 3 in 100,000.
@@ -39,9 +40,15 @@ _FEATURES = "struct<n_shingles:bigint,d1:bigint,d2:bigint,bands:array<bigint>,sk
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles (48-bit hashes, sorted) of each of up to 65,536 rows, tagged with the row in the top bits; heads."""
+    """Distinct shingles (48-bit hashes, sorted) of each of up to 65,536 rows, tagged with the row in the top bits; heads.
+
+    A row that stands alone, as every long one does, keeps 64-bit hashes.
+    """
     w = tk.Words(buf, offsets)
     values, heads = tk.shingles(w, k)
+    if len(offsets) == 2:
+        values = np.unique(values)
+        return values, np.array([0, len(values)])
     rows = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(heads))
     tagged = np.sort((rows << _BITS) | (values >> np.uint64(16)))
     if len(tagged):
@@ -75,7 +82,7 @@ def _features(texts: pa.Array, k: int, bands: int) -> pa.StructArray:
         full = np.flatnonzero(n)
         if not len(full):
             continue
-        at, x = heads[full], tagged & _MASK
+        at, x = heads[full], tagged >> np.uint64(16) if b - a == 1 else tagged & _MASK
         h = tk.mix(x)
         digests[0, a + full] = np.add.reduceat(h, at)
         digests[1, a + full] = np.add.reduceat(tk.mix(x ^ np.uint64(0x5BD1E995A1B2)), at)
@@ -145,19 +152,19 @@ def _linked(k: int, num: int, den: int):
             x, hx = shingle_sets(ba[oa[a] : oa[b]], oa[a : b + 1] - oa[a], k)
             y, hy = shingle_sets(bb[ob[a] : ob[b]], ob[a : b + 1] - ob[a], k)
             both = np.sort(np.concatenate([x, y]))
-            shared = both[:-1][both[1:] == both[:-1]] >> _BITS
-            inter = np.bincount(shared.astype(np.int64), minlength=b - a)
+            shared = both[:-1][both[1:] == both[:-1]]
+            inter = np.bincount((shared >> _BITS).astype(np.int64), minlength=b - a) if b - a > 1 else np.array([len(shared)])
             out[a:b] = den * inter >= num * (np.diff(hx) + np.diff(hy) - inter)
         return pa.array(out)
 
     return test
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of document ids whose texts are linked; texts are fetched for the named ids alone."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    texts = written(join_checked(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    side = [texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b")]
+def confirm(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose texts are linked; texts (rep, text) are fetched for the named ones alone."""
+    named = written(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ids")
+    held = written(join_checked(texts, named, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
+    side = [held.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b")]
     met = pairs.join(side[0], "a").join(side[1], "b")
     return met.where(_linked(k, num, den)("text_a", "text_b")).select("a", "b")
 
@@ -190,7 +197,7 @@ def _cross_pairs(num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _sort_key_groups(batches, ["key", "i", "j"]):
-            rep, n, comp = (t[c].to_numpy() for c in ("rep", "n_shingles", "comp"))
+            rep, v, n, comp, comp_v = (t[c].to_numpy() for c in ("rep", "v", "n_shingles", "comp", "comp_v"))
             block, i, j = t["block"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py()
             key = t["key"][0].as_py()
             sketches = t["sketch"].combine_chunks()
@@ -200,15 +207,16 @@ def _cross_pairs(num: int, den: int):
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
             sk = sketches.to_pylist()
             for a in left.tolist():
-                r = right[rep[right] > rep[a]] if i == j else right
-                r = r[(comp[r] != comp[a]) & (den * np.minimum(n[r], n[a]) >= num * np.maximum(n[r], n[a]))]
+                r = right[right > a] if i == j else right
+                r = r[((comp[r] != comp[a]) | (comp_v[r] != comp_v[a])) & (den * np.minimum(n[r], n[a]) >= num * np.maximum(n[r], n[a]))]
                 if not len(r):
                     continue
                 r = r[(bands[r] == bands[a]).argmax(axis=1) == band]
                 near = [x for x in r.tolist() if sketch_distance(sk[a], sk[x]) * (den + num) <= (den - num) * int(n[a] + n[x])]
                 if near:
-                    lo, hi = np.minimum(rep[near], rep[a]), np.maximum(rep[near], rep[a])
-                    yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
+                    here = pa.StructArray.from_arrays([pa.array(np.full(len(near), rep[a])), pa.array(np.full(len(near), v[a]))], names=["id", "v"])
+                    there = pa.StructArray.from_arrays([pa.array(rep[near]), pa.array(v[near])], names=["id", "v"])
+                    yield pa.RecordBatch.from_arrays([here, there], names=["x", "y"])
 
     return run
 
@@ -220,15 +228,17 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int =
     smallest doc_id reachable over links) and kept (doc_id = component_id), one row for
     each row of docs.  Null, empty and blank texts have no shingles and are linked with
     nothing.  Rows without a doc_id take no part; their component_id and kept are null.
-    Rows that repeat a doc_id are each placed by their own text.  Other columns are not
-    read.  The table must give the same rows whenever it is read.
+    Rows that repeat a doc_id are each placed by their own text; links and classes go by id
+    and text together, so that no text's links are lost.  Other columns are not read.  The table must give the same rows whenever it is read.
     """
     num, den = percent, 100
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    feats = written(docs.select("doc_id", signature(F.col("text"), k, bands).alias("f")).select("doc_id", "f.*"), "signatures")
+    bounded_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_version(F.col("text")).alias("v"))
+    texts = docs.select(F.struct(F.col("doc_id").alias("id"), "v").alias("rep"), "text")
+    feats = written(docs.select("doc_id", "v", signature(F.col("text"), k, bands).alias("f")).select("doc_id", "v", "f.*"), "signatures")
     one = feats.where("n_shingles > 0 AND doc_id IS NOT NULL")
     of_class = ["d1", "d2", "n_shingles"]
-    classes = written(one.groupBy(*of_class).agg(F.min("doc_id").alias("rep"), F.first(F.struct("bands", "sketch")).alias("s")).select(*of_class, "rep", "s.*"), "classes")
+    classes = written(one.groupBy(*of_class).agg(F.min(F.struct(F.col("doc_id").alias("id"), "v")).alias("rep"), F.first(F.struct("bands", "sketch")).alias("s")).select(*of_class, "rep", "s.*"), "classes")
 
     dealt = classes.select("rep", F.explode("bands").alias("key"))
     shared = dealt.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("m")).where("m > 1")
@@ -243,7 +253,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int =
     stars = multi.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     stars = both_sides(stars).where(den * small >= num * large)
     stars = stars.where(_may_link(num, den)("n_shingles_a", "n_shingles_b", "sketch_a", "sketch_b")).select("a", "b")
-    links = written(confirm(written(stars, "pairs"), docs, k, num, den), "links")
+    links = written(confirm(written(stars, "pairs"), texts, k, num, den), "links")
 
     parts = connected_components(links)
     placed = multi.join(parts, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "rep")).select("key", "rep", "m", "comp")
@@ -256,14 +266,16 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int =
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("key", "rep", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         .join(classes.select("rep", "n_shingles", "bands", "sketch"), "rep")
+        .select("key", "i", "j", "block", F.col("rep.id").alias("rep"), F.col("rep.v").alias("v"), F.col("comp.id").alias("comp"), F.col("comp.v").alias("comp_v"), "n_shingles", "bands", "sketch")
     )
     width = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-    pairs = written(rows.mapInArrow(tk.tidy(_cross_pairs(num, den)), "a bigint, b bigint").distinct(), "pairs")
-    more = written(confirm(pairs, docs, k, num, den), "links")
+    found = rows.mapInArrow(tk.tidy(_cross_pairs(num, den)), "x struct<id:bigint,v:bigint>, y struct<id:bigint,v:bigint>")
+    pairs = written(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    more = written(confirm(pairs, texts, k, num, den), "links")
     parts = written(connected_components(links.unionByName(more)), "components")
 
-    known = classes.join(parts, F.col("rep") == F.col("node"), "left").select(*of_class, F.coalesce("root", "rep").alias("component_id"))
+    known = classes.join(parts, F.col("rep") == F.col("node"), "left").select(*of_class, F.coalesce("root.id", "rep.id").alias("component_id"))
     out = feats.select("doc_id", *of_class).join(known, of_class, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -27,14 +27,14 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def folded(rows: DataFrame, run, name: str = "fold") -> DataFrame:
-    """A written table of at most ``FAN`` rows: run adds up the rows of a task, round by round.
+    """A written table of at most one row: run adds up the rows of a task, round by round.
 
-    rows are few and of bounded size (one for each task of a pass, say), so that neither
-    a task nor the driver ever gets more than ``FAN`` of them at once.
+    rows are of bounded size, one for each task of a pass, say; no task ever gets many more than
+    ``FAN`` of them, and the driver one.
     """
     rows = written(rows, name)
     n = rows.count()
-    while n > FAN:
+    while n > 1:
         rows = written(rows.repartition(-(-n // FAN)).mapInArrow(run, rows.schema), name)
         n = rows.count()
     return rows

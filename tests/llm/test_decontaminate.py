@@ -4,7 +4,11 @@ import re
 from hypothesis import given
 from hypothesis import strategies as st
 
-from logweave.llm.decontaminate import find_leaks, lcs_length
+import numpy as np
+import pyarrow as pa
+from logweave.llm import decontaminate as dc
+from logweave.llm import textkernel as tk
+from logweave.llm.decontaminate import find_leaks, latent_space, lcs_length
 from logweave.llm.queries import op5_decontaminate
 
 D, B = "doc_id bigint, text string", "item_id bigint, text string"
@@ -75,3 +79,59 @@ def test_given_answers_nulls_and_empty(spark):
     assert got == [(1, 7), (5, 7), (5, 7), (None, 7)]
     assert find_leaks(docs.limit(0), bench).count() == 0
     assert find_leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_recall_of_the_candidate_search(spark):
+    d = "/root/testdata/sf0.01"
+    docs, bench = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
+    space = latent_space(docs)
+    every = {(r.doc_id, r.item_id) for r in find_leaks(docs, bench, near=-2.0, space=space).collect()}
+    found = {(r.doc_id, r.item_id) for r in find_leaks(docs, bench, space=space).collect()}
+    assert len(every) > 20 and found <= every and len(found) >= 0.95 * len(every)
+
+
+def test_items_of_any_length_and_cut_copies(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(1, 4)))
+    items = [[word() for _ in range(n)] for n in (600, 1500, 3000, 40, 40)]
+    filler = [word() for _ in range(3000)]
+    texts = [filler[i * 100 : i * 100 + 50] + w + filler[-60:] for i, w in enumerate(items[:3])]
+    texts += [filler[:70] + items[3][:30] + filler[100:180], filler[:90] + items[4][:20] + filler[300:380], filler]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], D)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], B)
+    assert {(r.doc_id, r.item_id) for r in find_leaks(docs, bench).collect()} == {(0, 0), (1, 1), (2, 2), (3, 3)}
+
+
+def test_the_latent_space_finds_what_words_alone_miss(spark):
+    rnd = random.Random(6)
+    common, topics = [f"c{i}" for i in range(24)], [[f"t{t}w{i}" for i in range(60)] for t in range(20)]
+
+    def passage(t):
+        w = common + rnd.sample(topics[t], 24)
+        rnd.shuffle(w)
+        return w
+
+    texts = [passage(i % 20) + passage(i % 20) for i in range(400)]
+    items = [common[:] for _ in range(5)]
+    rnd2 = random.Random(7)
+    for t, item in enumerate(items):
+        rnd2.shuffle(item)
+        said = list(item)
+        for at in sorted(rnd2.sample(range(25), 16), reverse=True):
+            item.insert(at, topics[t][at])
+            said.insert(at, topics[t][at + 30])
+        texts.append(said + passage(t)[:8])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], D)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], B)
+    idf, fold = space = latent_space(docs)
+    assert {(r.doc_id, r.item_id) for r in find_leaks(docs, bench, space=space).collect()} == {(400 + t, t) for t in range(5)}
+
+    def vector(words):
+        buf, offsets = tk.utf8(pa.array([" ".join(words)]))
+        return np.bincount(dc._terms(dc._words(buf, offsets).hashes), minlength=dc.TERMS) * idf
+
+    a, b = vector(items[0]), vector(texts[400][:40])
+    assert a @ b / np.linalg.norm(a) / np.linalg.norm(b) < 0.3
+    assert fold.shape[1] <= dc.RANK
+    a, b = a / np.where(idf > 0, idf, 1) @ fold, b / np.where(idf > 0, idf, 1) @ fold
+    assert a @ b / np.linalg.norm(a) / np.linalg.norm(b) > 0.3

@@ -1,4 +1,5 @@
 import itertools
+import random
 import re
 
 from logweave.llm.minhash import near_duplicates
@@ -55,3 +56,12 @@ def test_nulls_empty_short_and_repeated_rows(spark):
     assert out == {(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 1, 6, True), (7, 1, 6, False), (8, 1, 8, True), (None, 1, None, None)}
     assert near_duplicates(docs).count() == 10
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    rnd = random.Random(3)
+    a, b = ([f"{c}{rnd.randrange(10**6)}" for _ in range(60)] for c in "ab")
+    near = lambda w, i: " ".join([*w[:i], "x", *w[i + 1 :]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 30)), (3, near(b, 30)), (3, "alone"), (4, near(a, 59))]
+    got_ = {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got_ == {(1, 57, 1), (2, 57, 1), (3, 57, 1), (3, 1, 3), (4, 57, 1)}
