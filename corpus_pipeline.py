@@ -16,7 +16,7 @@ from logweave.llm.decontaminate import find_leaks
 from logweave.llm.minhash import near_duplicates
 from logweave.llm.packing import pack
 from logweave.llm.small_side import join_checked
-from logweave.llm.suffix_dedup import remove_repeats
+from logweave.llm.suffix_dedup import remove_repeats, text_version
 from logweave.llm.toxicity import train_toxicity
 from logweave.plans.scratch import written
 
@@ -43,16 +43,17 @@ def strike_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Every document without the bytes of 100-byte strings that also start earlier.
 
     Of a character of which some bytes go, the others go too; n_chars is counted anew.
-    A null text becomes an empty one.  Rows that share an id share its other columns.
+    A null text becomes an empty one.  Rows that share an id keep their own columns and texts.
     """
 
     @F.arrow_udf("string")
     def whole_characters(kept: pa.Array) -> pa.Array:
         return pa.array([b.as_py().decode("utf-8", "ignore") for b in kept], pa.string())
 
-    struck = remove_repeats(docs, length=100, with_text=True).select(F.col("doc_id").alias("_struck_id"), whole_characters("kept").alias("_struck_text"))
-    rest = docs.drop("text").dropDuplicates(["doc_id"])
-    both = rest.join(struck, F.col("doc_id").eqNullSafe(F.col("_struck_id")))
+    struck = remove_repeats(docs, length=100, with_text=True).where("copy = 0")  # rows of equal id and text lose the same
+    struck = struck.select(F.col("doc_id").alias("_struck_id"), F.col("version").alias("_struck_version"), whole_characters("kept").alias("_struck_text"))
+    rest = docs.withColumn("_version", text_version(F.col("text"))).drop("text")
+    both = rest.join(struck, F.col("doc_id").cast("long").eqNullSafe(F.col("_struck_id")) & (F.col("_version") == F.col("_struck_version")))
     new = {"text": F.col("_struck_text"), "n_chars": F.length("_struck_text").cast("long")}
     return both.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
