@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from logweave.llm.additive import build_index, search
 from logweave.llm.decontaminate import find_leaks
 from logweave.llm.labelled import held_out_by_crc
-from logweave.llm.licenses import scan_licenses
+from logweave.llm.licenses import scan_licenses, statements
 from logweave.llm.lm_scoring import score_documents
 from logweave.llm.minhash import near_duplicates
 from logweave.llm.packing import pack
@@ -94,11 +94,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License of every document, taken as the file source/lang/doc_id."""
-    docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
-    found = scan_licenses(docs.select(path.alias("path"), "text"))
-    return found.select(F.regexp_extract("path", r"([^/]*)$", 1).cast("long").alias("doc_id"), "path", "license", "score", "origin", "license_path")
+    """License of every document, taken as a file of the directory source/lang.
+
+    A document of which at least a fifth of the words stand in statements with a cue word is
+    its directory's license file, ``LICENSE-<doc_id>``; others are ``<doc_id>.txt`` and inherit.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    words = lambda t: F.size(F.filter(F.split(t, r"\s+"), lambda w: F.length(w) > 0))
+    said = F.array_join(statements(F.col("text")), " ")
+    mainly = F.when(F.length(said) > 0, 5 * words(said) >= words(F.col("text"))).otherwise(F.lit(False))
+    name = F.when(mainly, F.concat(F.lit("LICENSE-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).otherwise(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(".txt")))
+    found = scan_licenses(docs.select(F.concat_ws("/", "source", "lang", name).alias("path"), "text", "doc_id"), keep=("doc_id",))
+    return found.select("doc_id", "path", "license", "score", "origin", "license_path")
 
 
 @query

@@ -2,7 +2,8 @@ import math
 import re
 from collections import Counter
 
-from logweave.llm.licenses import TEMPLATES, scan_licenses, template_weights
+from logweave.llm.licenses import TEMPLATES, WHOLE, scan_licenses, template_weights
+from logweave.llm.queries import op7_licenses
 
 SCHEMA = "path string, text string, license int"
 
@@ -59,3 +60,46 @@ def test_equals_brute_force(spark):
         want[r.path] = best[2]
     got = {r.path: r.license for r in scan_licenses(docs).collect()}
     assert got == want and sum(v is not None for v in want.values()) > 5
+
+
+HEADERS = {
+    "GPL-2.0": """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.""",
+    "AGPL-3.0": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU Affero General Public License as
+# published by the Free Software Foundation, either version 3 of the
+# License, or (at your option) any later version.""",
+    "LGPL-3.0": """// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU Lesser General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or
+// (at your option) any later version.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+}
+
+
+def test_wrapped_headers_count_as_a_whole(spark):
+    rows = [(f"{k}/x.c", f"/*\n{h}\n */\n\nint main;") for k, h in HEADERS.items()]
+    assert {p: x[0] for p, x in run(spark, rows).items()} == {f"{k}/x.c": k for k in HEADERS}
+
+
+def test_whole_texts_are_their_own_license(spark):
+    lines = [(f"{i}/LICENSE", text.replace(", ", ",\n")) for i, (_, text) in enumerate(WHOLE)]
+    out = run(spark, lines)
+    assert [out[f"{i}/LICENSE"][0] for i in range(len(WHOLE))] == [k for k, _ in WHOLE]
+
+
+def test_the_query_inherits(spark):
+    rows = op7_licenses(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 1000
+    given = {r.license_path for r in rows if r.origin == "inherited"}
+    assert given and all("/LICENSE-" in p for p in given)
+    by = {r.path: r.license for r in rows}
+    assert all(r.license == by[r.license_path] for r in rows if r.origin == "inherited")
