@@ -63,6 +63,59 @@ def length_prefixed(data: bytes) -> bytes:
     return varint(len(data)) + data
 
 
+def from_u64_le(value: Column) -> Column:
+    """The number in eight little-endian bytes, as decimal(20,0); 0 for other lengths, null for null."""
+    h = F.hex(value)
+    swapped = F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(7, -1, -1)])
+    number = F.conv(swapped, 16, 10).cast("decimal(20,0)")
+    return F.when(F.octet_length(value) == 8, number).when(value.isNotNull(), F.lit(0).cast("decimal(20,0)"))
+
+
+def to_u64_le(number: Column) -> Column:
+    """Eight little-endian bytes of a whole number from 0 to 2**64 - 1."""
+    h = F.lpad(F.conv(number.cast("decimal(20,0)").cast("string"), 10, 16), 16, "0")
+    return F.unhex(F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(7, -1, -1)]))
+
+
+def encode_ts(ts: Column) -> Column:
+    """A timestamp suffix: eight little-endian bytes of an unsigned number."""
+    return to_u64_le(ts)
+
+
+def split_ts(key: Column) -> tuple[Column, Column]:
+    """A key with a timestamp suffix as the key alone and its timestamp; null for keys shorter than the suffix."""
+    n = F.octet_length(key)
+    return F.when(n >= 8, F.substring(key, F.lit(1), n - 8)), F.when(n >= 8, from_u64_le(F.substring(key, n - 7, F.lit(8))))
+
+
+def crc32_masked(value: Column) -> Column:
+    """CRC-32 of a byte string in the stored form: rotated right by 15 bits, plus a constant, modulo 2**32."""
+    c = F.crc32(value)
+    turned = F.shiftright(c, 15).bitwiseOR(F.shiftleft(c, 17).bitwiseAND(F.lit((1 << 32) - 1)))
+    return (turned + F.lit(0xA282EAD8)).bitwiseAND(F.lit((1 << 32) - 1))  # fixed value
+
+
+def varint_column(number: Column) -> Column:
+    """``varint`` of a column of whole numbers from 0 to 2**63 - 1."""
+    groups = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.call_function("shiftrightunsigned", number, (i * 7).cast("int")))
+    used = F.filter(groups, lambda x, i: (x > 0) | (i == 0))
+    coded = F.transform(used, lambda x, i: F.lpad(F.hex(x.bitwiseAND(F.lit(127)) + F.when(i < F.size(used) - 1, 128).otherwise(0)), 2, "0"))
+    return F.unhex(F.array_join(coded, ""))
+
+
+def length_prefixed_column(value: Column) -> Column:
+    return F.concat(varint_column(F.octet_length(value).cast("bigint")), value)
+
+
+def upper_bound_column(prefix: Column) -> Column:
+    """``prefix_upper_bound`` of a column of byte strings: null where there is none."""
+    cut = F.regexp_replace(F.hex(prefix), "(FF)+$", "")
+    cut = F.when(F.length(cut) % 2 == 0, cut).otherwise(F.concat(cut, F.lit("F")))
+    n = F.length(cut)
+    step = F.lpad(F.hex(F.conv(F.substring(cut, n - 1, F.lit(2)), 16, 10).cast("bigint") + 1), 2, "0")
+    return F.when(n > 0, F.unhex(F.concat(F.substring(cut, F.lit(1), n - 2), step)))
+
+
 def hash64(x: np.ndarray, seed: int) -> np.ndarray:
     """64-bit finaliser of unsigned keys with a seed; arithmetic wraps."""
     u = np.uint64

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+import random
 from collections import OrderedDict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -150,8 +153,6 @@ def _mru(capacity: int, rows: Iterator[tuple[int, int]]) -> int:
 
 
 def _lfu(capacity: int, rows: Iterator[tuple[int, int]]) -> int:
-    import heapq
-
     held: dict[int, tuple[int, int, int]] = {}
     heap: list[tuple[int, int, int]] = []
     used = hits = 0
@@ -174,8 +175,6 @@ def _lfu(capacity: int, rows: Iterator[tuple[int, int]]) -> int:
 
 
 def _gdsize(capacity: int, rows: Iterator[tuple[int, int]]) -> int:
-    import heapq
-
     held: dict[int, tuple[float, int]] = {}
     heap: list[tuple[float, int]] = []
     used = hits = 0
@@ -199,8 +198,6 @@ def _gdsize(capacity: int, rows: Iterator[tuple[int, int]]) -> int:
 
 def _optimal(capacity: int, rows: Iterator[tuple[int, int]]) -> int:
     """Evicts the block whose next access is farthest away."""
-    import heapq
-
     rows = list(rows)
     after, nxt = [len(rows)] * len(rows), {}
     for i in range(len(rows) - 1, -1, -1):
@@ -225,19 +222,244 @@ def _optimal(capacity: int, rows: Iterator[tuple[int, int]]) -> int:
     return hits
 
 
-POLICIES = {"lru": _lru, "fifo": _fifo, "mru": _mru, "lfu": _lfu, "gdsize": _gdsize, "opt": _optimal}
+def _arc(capacity: int, rows: Iterator[tuple[int, int]]) -> int:
+    """Adaptive replacement: blocks seen once and blocks seen again share the bytes, as their ghosts' hits ask for."""
+    once, again, gone_once, gone_again = (OrderedDict() for _ in range(4))
+    used = {id(x): 0 for x in (once, again, gone_once, gone_again)}
+    target = hits = 0
+
+    def put(where: OrderedDict, block: int, size: int) -> None:
+        where[block] = size
+        used[id(where)] += size
+
+    def take(where: OrderedDict, block: int) -> int:
+        size = where.pop(block)
+        used[id(where)] -= size
+        return size
+
+    def evict(prefer_once: bool) -> None:
+        source, ghost = (once, gone_once) if once and (prefer_once or not again) else (again, gone_again)
+        block = next(iter(source))
+        put(ghost, block, take(source, block))
+        while used[id(ghost)] > capacity:
+            take(ghost, next(iter(ghost)))
+
+    for block, size in rows:
+        if block in once or block in again:
+            hits += 1
+            put(again, block, take(once if block in once else again, block))
+            continue
+        if not 0 < size <= capacity:
+            continue
+        known = block in gone_once or block in gone_again
+        if block in gone_once:
+            target = min(capacity, target + max(size, used[id(gone_again)] * size // max(1, used[id(gone_once)])))
+            take(gone_once, block)
+        elif block in gone_again:
+            target = max(0, target - max(size, used[id(gone_once)] * size // max(1, used[id(gone_again)])))
+            take(gone_again, block)
+        while used[id(once)] + used[id(again)] + size > capacity:
+            evict(used[id(once)] > target)
+        put(again if known else once, block, size)
+    return hits
+
+
+def _sampled(score, seed: int = 5, sample: int = 64):
+    """A policy that evicts the block of the least score(accesses, first time, last time, size, now) among a random sample."""
+
+    def run(capacity: int, rows: Iterator[tuple[int, int]]) -> int:
+        rnd = random.Random(seed)
+        held: dict[int, list[int]] = {}
+        order: list[int] = []
+        place: dict[int, int] = {}
+        used = hits = 0
+        for now, (block, size) in enumerate(rows):
+            if block in held:
+                hits += 1
+                held[block][0] += 1
+                held[block][2] = now
+                continue
+            if not 0 < size <= capacity:
+                continue
+            while used + size > capacity:
+                few = order if len(order) <= sample else [order[rnd.randrange(len(order))] for _ in range(sample)]
+                out = min(few, key=lambda b: (score(*held[b], now), b))
+                used -= held.pop(out)[3]
+                at, last = place.pop(out), order.pop()
+                if last != out:
+                    order[at], place[last] = last, at
+            held[block] = [1, now, now, size]
+            place[block] = len(order)
+            order.append(block)
+            used += size
+        return hits
+
+    return run
+
+
+_hyperbolic = _sampled(lambda n, first, last, size, now: n / (now - first + 1))
+
+
+def _cost_class(capacity: int, rows: Iterator[tuple[int, int]]) -> int:
+    """Blocks in classes by the power of two of their size; the class with the fewest recent hits for its bytes gives its oldest block."""
+    classes: dict[int, OrderedDict[int, int]] = {}
+    size_of: dict[int, int] = {}
+    recent: dict[int, float] = {}
+    where: dict[int, int] = {}
+    used = hits = 0
+    for block, size in rows:
+        if block in where:
+            c = where[block]
+            hits += 1
+            recent[c] = recent[c] * 0.99 + 1
+            classes[c].move_to_end(block)
+            continue
+        if not 0 < size <= capacity:
+            continue
+        while used + size > capacity:
+            c = min((k for k in classes if classes[k]), key=lambda k: (recent[k] / size_of[k], k))
+            out, gone = classes[c].popitem(last=False)
+            del where[out]
+            used -= gone
+            size_of[c] -= gone
+        c = size.bit_length()
+        classes.setdefault(c, OrderedDict())[block] = size
+        recent.setdefault(c, 0.0)
+        size_of[c] = size_of.get(c, 0) + size
+        where[block] = c
+        used += size
+    return hits
+
+
+def _learned(choose, learn):
+    """A cache that asks, at each eviction, which of two policies (0: oldest, 1: rarest) names the block; a miss on a
+    block that a policy had evicted teaches that the choice was wrong, a later drop from the ghosts that it was right."""
+
+    def run(capacity: int, rows: Iterator[tuple[int, int]]) -> int:
+        rnd = random.Random(11)
+        state: dict = {}
+        held: OrderedDict[int, int] = OrderedDict()
+        count: dict[int, int] = {}
+        heap: list[tuple[int, int, int]] = []
+        ghosts: OrderedDict[int, tuple[int, tuple]] = OrderedDict()
+        used = hits = misses = 0
+        for now, (block, size) in enumerate(rows):
+            if block in held:
+                hits += 1
+                held.move_to_end(block)
+                count[block] += 1
+                heapq.heappush(heap, (count[block], now, block))
+                continue
+            misses += 1
+            if block in ghosts:
+                learn(state, *ghosts.pop(block), False)
+            if not 0 < size <= capacity:
+                continue
+            while used + size > capacity:
+                context = (1.0, misses / (now + 1), used / capacity)
+                arm = choose(state, context, rnd)
+                if arm == 0:
+                    out = next(iter(held))
+                else:
+                    while True:
+                        n, _, out = heapq.heappop(heap)
+                        if out in held and count[out] == n:
+                            break
+                used -= held.pop(out)
+                del count[out]
+                ghosts[out] = (arm, context)
+                if len(ghosts) > max(16, len(held)):
+                    learn(state, *ghosts.popitem(last=False)[1], True)
+            held[block] = size
+            count[block] = 1
+            heapq.heappush(heap, (1, now, block))
+            used += size
+        return hits
+
+    return run
+
+
+def _beta(state: dict, context: tuple, rnd: random.Random) -> int:
+    draws = [rnd.betavariate(*state.setdefault(arm, [1, 1])) for arm in (0, 1)]
+    return int(draws[1] > draws[0])
+
+
+def _beta_learn(state: dict, arm: int, context: tuple, right: bool) -> None:
+    state[arm][0 if right else 1] += 1
+
+
+def _linear(state: dict, context: tuple, rnd: random.Random, width: float = 0.5) -> int:
+    """The arm of the larger upper confidence bound of a ridge regression on the context."""
+    x = np.array(context)
+    bounds = []
+    for arm in (0, 1):
+        a, b = state.setdefault(arm, [np.eye(len(x)), np.zeros(len(x))])
+        inverse = np.linalg.inv(a)
+        bounds.append(float(x @ inverse @ b + width * np.sqrt(x @ inverse @ x)))
+    return int(bounds[1] > bounds[0])
+
+
+def _linear_learn(state: dict, arm: int, context: tuple, right: bool) -> None:
+    x = np.array(context)
+    state[arm][0] += np.outer(x, x)
+    state[arm][1] += x * right
+
+
+def _ghost_lru(capacity: int, rows: Iterator[tuple[int, int]]) -> int:
+    """LRU that admits a block only at its second miss, while its name is among the ghosts (as many bytes as the cache)."""
+    held: OrderedDict[int, int] = OrderedDict()
+    ghosts: OrderedDict[int, int] = OrderedDict()
+    used = shadow = hits = 0
+    for block, size in rows:
+        if block in held:
+            hits += 1
+            held.move_to_end(block)
+            continue
+        if not 0 < size <= capacity:
+            continue
+        if block not in ghosts:
+            ghosts[block] = size
+            shadow += size
+            while shadow > capacity:
+                shadow -= ghosts.popitem(last=False)[1]
+            continue
+        shadow -= ghosts.pop(block)
+        held[block] = size
+        used += size
+        while used > capacity:
+            used -= held.popitem(last=False)[1]
+    return hits
+
+
+POLICIES = {
+    "lru": _lru,
+    "fifo": _fifo,
+    "mru": _mru,
+    "lfu": _lfu,
+    "gdsize": _gdsize,
+    "opt": _optimal,
+    "arc": _arc,
+    "hyperbolic": _hyperbolic,
+    "cost_class": _cost_class,
+    "thompson": _learned(_beta, _beta_learn),
+    "linucb": _learned(_linear, _linear_learn),
+    "ghost_lru": _ghost_lru,
+}
 
 
 def simulate(access: DataFrame, policies: list[str], capacities: list[int], scope: str | None = None) -> DataFrame:
     """(policy, capacity, accesses, hits) of simulated caches, each access in trace order.
 
     A cache is sequential, so every (policy, capacity, scope) is one group; split a long
-    trace by ``scope`` (a shard of the cache) to keep groups bounded.
+    trace by ``scope`` (a shard of the cache) to keep groups bounded.  Rows whose ``no_insert``
+    is true may hit, but are never admitted.
     """
     runs = [(p, c) for p in policies for c in capacities]
     asked = access.sparkSession.createDataFrame(runs, "policy string, capacity bigint")
     shard = F.col(scope) if scope else F.lit(0)
-    each = access.select("ts", "seqno", "block", "size", shard.alias("shard")).join(F.broadcast(asked))
+    barred = F.coalesce(F.col("no_insert"), F.lit(False)) if "no_insert" in access.columns else F.lit(False)
+    size = F.when(barred, 0).otherwise(F.col("size")).alias("size")  # no policy admits a block without bytes
+    each = access.select("ts", "seqno", "block", size, shard.alias("shard")).join(F.broadcast(asked))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["ts", "seqno"])
@@ -249,6 +471,51 @@ def simulate(access: DataFrame, policies: list[str], capacities: list[int], scop
     return parts.groupBy("policy", "capacity").agg(F.sum("accesses").alias("accesses"), F.sum("hits").alias("hits"))
 
 
+def simulate_hybrid(access: DataFrame, capacities: list[int], scope: str | None = None) -> DataFrame:
+    """(capacity, accesses, row_hits, block_hits, missed_bytes) of a cache of rows and blocks, of accesses (…, key, row_size, block, size).
+
+    An access asks for its row first, then for its block; a miss brings in both, and the least
+    recently used of either kind goes.  One group for each capacity and scope.
+    """
+    asked = access.sparkSession.createDataFrame([(c,) for c in capacities], "capacity bigint")
+    shard = F.col(scope) if scope else F.lit(0)
+    each = access.select("ts", "seqno", "key", "row_size", "block", "size", shard.alias("shard")).join(F.broadcast(asked))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part, capacity = part.sort_values(["ts", "seqno"]), int(part["capacity"].iloc[0])
+        held: OrderedDict[tuple, int] = OrderedDict()
+        used = rows = blocks = missed = 0
+        for key, row_size, block, size in zip(*(part[c].tolist() for c in ("key", "row_size", "block", "size")), strict=True):
+            row, whole = ("r", key), ("b", block)
+            if row in held:
+                rows += 1
+                held.move_to_end(row)
+                continue
+            if whole in held:
+                blocks += 1
+                held.move_to_end(whole)
+            else:
+                missed += size
+            for name, n in ((whole, size), (row, row_size)):
+                if name not in held and 0 < n <= capacity:
+                    held[name] = n
+                    used += n
+            while used > capacity:
+                used -= held.popitem(last=False)[1]
+        return pd.DataFrame({"capacity": [capacity], "accesses": [len(part)], "row_hits": [rows], "block_hits": [blocks], "missed_bytes": [missed]})
+
+    parts = each.groupBy("capacity", "shard").applyInPandas(run, "capacity bigint, accesses bigint, row_hits bigint, block_hits bigint, missed_bytes bigint")
+    return parts.groupBy("capacity").agg(*[F.sum(c).alias(c) for c in ("accesses", "row_hits", "block_hits", "missed_bytes")])
+
+
+def miss_timeline(access: DataFrame, scope: str, capacity: int, width: int) -> DataFrame:
+    """(unit, accesses, misses) of an LRU cache of a capacity, in units of time since the first access."""
+    begin = access.agg(F.min("ts").alias("begin"))
+    met = access.select("seqno", "ts", "size").join(reuse_distances(access, scope), "seqno", "left").join(F.broadcast(begin))
+    hit = F.coalesce(F.col("distance") + F.col("size") <= capacity, F.lit(False))
+    return met.groupBy(F.floor((F.col("ts") - F.col("begin")) / width).alias("unit")).agg(F.count("*").alias("accesses"), F.count_if(~hit).alias("misses"))
+
+
 def spatial_locality(access: DataFrame, keys_in_block: int) -> DataFrame:
     """Percentage of a block's keys that were accessed, in tenths, and how many blocks fall in each: (tenth, blocks)."""
     used = access.groupBy("block").agg(F.count_distinct("key").alias("keys"))
@@ -256,6 +523,37 @@ def spatial_locality(access: DataFrame, keys_in_block: int) -> DataFrame:
     return used.groupBy(tenth.alias("tenth")).agg(F.count("*").alias("blocks"))
 
 
+def block_shares(access: DataFrame, keys_in_block: int) -> DataFrame:
+    """For each block the percentage of its keys accessed, of accesses that found their key, and of its bytes accessed.
+
+    access: (block, size, key, found, bytes); a key that is not found is none of the block's, and
+    counts for the second share alone.
+    """
+    found = F.coalesce(F.col("found"), F.lit(False))
+    keys = access.where(found).groupBy("block", "key").agg(F.max("bytes").alias("bytes")).groupBy("block").agg(F.count("*").alias("keys"), F.sum("bytes").alias("bytes"))
+    hits = access.groupBy("block").agg(F.max("size").alias("size"), F.count("*").alias("accesses"), F.count_if(found).alias("hits"))
+    met = hits.join(keys, "block", "left")
+    share = lambda a, b: F.round(F.coalesce(a, F.lit(0)) * 100 / b, 4)
+    return met.select("block", share(F.col("keys"), F.lit(keys_in_block)).alias("keys_percent"), share(F.col("hits"), F.col("accesses")).alias("hits_percent"), share(F.col("bytes"), F.col("size")).alias("bytes_percent"))
+
+
+def extreme_blocks(access: DataFrame, k: int) -> DataFrame:
+    """The k most and the k least accessed blocks (ties to the smaller block), with ``end`` top or bottom and their rank."""
+    counts = access.groupBy("block").agg(F.count("*").alias("accesses"))
+    out = None
+    for end, order in (("top", F.desc("accesses")), ("bottom", F.asc("accesses"))):
+        few = counts.orderBy(order, "block").limit(k)
+        ranked = few.withColumn("rank", F.row_number().over(Window.orderBy(order, "block"))).withColumn("end", F.lit(end))
+        out = ranked if out is None else out.unionByName(ranked)
+    return out.select("end", "rank", "block", "accesses")
+
+
+def hit_rates(counters: DataFrame) -> DataFrame:
+    """Rows with hits and misses, with their ``total`` and ``hit_rate_pct``; no rate without accesses."""
+    total = F.col("hits") + F.col("misses")
+    return counters.withColumn("total", total).withColumn("hit_rate_pct", F.when(total > 0, F.round(F.col("hits") * 100 / total, 6)))
+
+
 def caller_share(access: DataFrame, group: str, caller: str) -> DataFrame:
     """Percentage of each group's accesses by caller."""
     by = access.groupBy(group, caller).agg(F.count("*").alias("n"))

@@ -36,13 +36,16 @@ def conflicts(tracked: DataFrame, log: DataFrame) -> DataFrame:
     return tracked.join(newest, "key").where(F.col("newest") > F.col("read_seqno")).select("txn", "key", "read_seqno", "newest")
 
 
-def committed(log: DataFrame, commits: DataFrame, snapshot: int) -> DataFrame:
+def committed(log: DataFrame, commits: DataFrame, snapshot: int, min_uncommitted: int = 0) -> DataFrame:
     """Entries of prepared transactions (prep_seq) that a snapshot sees, by commits (prep_seq, commit_seq).
 
-    prep_seq 0 is always seen; others if their commit is at most the snapshot.
+    prep_seq 0 is always seen; one after the snapshot never; one below ``min_uncommitted``, where
+    all was committed when the snapshot was taken, is; others if their commit is at most the
+    snapshot.
     """
     joined = log.join(commits, "prep_seq", "left")
-    seen = (F.col("prep_seq") == 0) | (F.coalesce(F.col("commit_seq") <= snapshot, F.lit(False)))
+    by_commit = (F.col("prep_seq") < min_uncommitted) | F.coalesce(F.col("commit_seq") <= snapshot, F.lit(False))
+    seen = (F.col("prep_seq") == 0) | ((F.col("prep_seq") <= snapshot) & by_commit)
     return joined.where(seen).drop("commit_seq")
 
 
@@ -55,13 +58,30 @@ def lock_overlaps(locks: DataFrame, width: int) -> DataFrame:
     return hit.where(first).drop("cell")
 
 
-def deadlocks(waits: DataFrame, hops: int = 20) -> DataFrame:
-    """Transactions of waits (waiter, holder) that wait for themselves over at most ``hops`` edges."""
-    edges = waits.distinct()
+def deadlocks(waits: DataFrame, trims: int = 16) -> DataFrame:
+    """Transactions of waits (waiter, holder) that wait for themselves over any number of edges.
+
+    Waiters that nobody waits for, and those who wait for nobody who waits, cannot be part of
+    a cycle: they are trimmed, for at most ``trims`` rounds.  What is left, cycles and what
+    lies between them, is closed under paths of twice the length in each round, until
+    nothing is added.
+    """
+    edges = written(waits.where("waiter IS NOT NULL AND holder IS NOT NULL").distinct(), "waits")
+    count = edges.count()
+    for _ in range(trims):
+        both = edges.select(F.col("waiter").alias("n")).intersect(edges.select(F.col("holder").alias("n")))
+        kept = edges.join(both.withColumnRenamed("n", "waiter"), "waiter", "left_semi").join(both.withColumnRenamed("n", "holder"), "holder", "left_semi")
+        edges = written(kept, "waits")
+        now = edges.count()
+        if now == count:
+            break
+        count = now
     reach = edges.select(F.col("waiter").alias("start"), F.col("holder").alias("at"))
-    steps = 1
-    while steps < hops:
+    while count:
         further = reach.alias("a").join(reach.alias("b"), F.col("a.at") == F.col("b.start")).select(F.col("a.start").alias("start"), F.col("b.at").alias("at"))
         reach = written(reach.union(further).distinct(), "reach")
-        steps *= 2
+        now = reach.count()
+        if now == count:
+            break
+        count = now
     return reach.where("start = at").select(F.col("start").alias("txn")).distinct()

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.operators.merge_ops import MergeOp
-from logweave.plans.ranged import last_known, row_numbers
-from logweave.plans.scratch import written
+from logweave.plans import intervals
+from logweave.plans.ranged import last_known
 from logweave.schema import DELETES, MERGE, RDEL
 
 #: Range tombstones are compared by a broadcast range join up to this many, else through fragments.
@@ -33,20 +33,19 @@ def visible(log: DataFrame, as_of_seq: int | None = None, as_of_ts=None, from_ts
 def fragments(tombstones: DataFrame) -> DataFrame:
     """Disjoint (start, stop, seqno) of range tombstones (key, end_key, seqno), the largest seqno in each.
 
-    Tombstones that end where or before they start are ignored.  Endpoints are sorted in
-    ranges; each tombstone is joined with the endpoints inside it only through its range
-    of endpoint numbers.
+    Tombstones that end where or before they start are ignored.  A wide tombstone is never
+    spread over all ends inside it: it meets the cells between ends in blocks.
     """
-    t = tombstones.where("key < end_key").select(F.col("key").alias("lo"), F.col("end_key").alias("hi"), "seqno")
-    points = t.select(F.col("lo").alias("p")).union(t.select(F.col("hi"))).distinct()
-    numbered = written(row_numbers(points, "p"), "endpoints")
-    after = numbered.select((F.col("n") - 1).alias("n"), F.col("p").alias("stop"))
-    cells = numbered.join(after, "n")
-    a, b = numbered.alias("a"), numbered.alias("b")
-    spans = t.join(a, F.col("lo") == F.col("a.p")).join(b, F.col("hi") == F.col("b.p"))
-    spans = spans.select("seqno", F.explode(F.sequence(F.col("a.n"), F.col("b.n") - 1)).alias("n"))
-    top = spans.groupBy("n").agg(F.max("seqno").alias("seqno"))
-    return cells.join(top, "n").select(F.col("p").alias("start"), "stop", "seqno")
+    t = tombstones.where("key < end_key").groupBy(F.col("key").alias("lo"), F.col("end_key").alias("hi")).agg(F.max("seqno").alias("seqno"))
+    ends = intervals.numbered_ends(t)
+    depth = intervals.levels(ends)
+    cells = ends.join(ends.select((F.col("n") - 1).alias("n"), F.col("p").alias("stop")), "n")
+    a, b = ends.select(F.col("p").alias("lo"), F.col("n").alias("x")), ends.select(F.col("p").alias("hi"), F.col("n").alias("y"))
+    placed = t.join(a, "lo").join(b, "hi").select("seqno", F.explode(intervals.blocks(F.col("x"), F.col("y"), depth)).alias("b"))
+    top = placed.groupBy("b.l", "b.i").agg(F.max("seqno").alias("seqno"))
+    asked = cells.select("n", F.explode(intervals.around(F.col("n"), depth)).alias("b")).select("n", "b.l", "b.i")
+    found = asked.join(top, ["l", "i"]).groupBy("n").agg(F.max("seqno").alias("seqno"))
+    return cells.join(found, "n").select(F.col("p").alias("start"), "stop", "seqno")
 
 
 def cover(points: DataFrame, tombstones: DataFrame) -> DataFrame:
@@ -87,7 +86,8 @@ def resolve(
 ) -> DataFrame:
     """Keys alive at a snapshot, with their value.
 
-    Without a merge operator the newest entry's row is returned.  With one: keys, value
+    Without a merge operator the newest entry's row is returned, an operand as it is (its
+    op says so; ``Store.read`` refuses).  With one: keys, value
     and last_seqno, where operands newer than the newest other entry are folded onto that
     entry's value (onto nothing, if it is a deletion or there is none).
     """
@@ -98,9 +98,10 @@ def resolve(
     seen = apply_range_tombstones(seen)
     if merge is None:
         return latest(seen, keys).where(~F.col("op").isin(*DELETES))
+    merge = merge.of(seen.schema["value"].dataType)
     base = seen.where(F.col("op") != MERGE).groupBy(*keys).agg(F.max_by(F.struct("op", "value", "seqno"), "seqno").alias("base"))
     operands = seen.where(F.col("op") == MERGE).join(base, keys, "left").where(F.coalesce(F.col("seqno") > F.col("base.seqno"), F.lit(True)))
-    folded = operands.groupBy(*keys).agg(merge.fold(F.col("value"), F.col("seqno")).alias("folded"), F.max("seqno").alias("merge_seqno"))
+    folded = merge.folded(operands.select(*keys, "seqno", "value"), keys)
     alive = F.col("merge_seqno").isNotNull() | ~F.col("base.op").isin(*DELETES)
     value = F.when(~F.col("base.op").isin(*DELETES), F.col("base.value"))
     both = base.join(folded, keys, "full").where(alive)

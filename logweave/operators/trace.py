@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SECOND = 1_000_000
+#: Operations that read, and may find nothing.
+READS = ("GET", "MULTIGET", "SEEK")
+WRITES = ("PUT", "ENTITY", "MERGE", "DEL", "SDEL", "RDEL")
 
 
 def bucketed(trace: DataFrame, width: int = SECOND) -> DataFrame:
@@ -20,6 +23,49 @@ def key_stats(trace: DataFrame) -> DataFrame:
     return stats.withColumn("key_id", F.row_number().over(Window.partitionBy("op").orderBy("key")) - 1)
 
 
+def key_success(trace: DataFrame) -> DataFrame:
+    """Accesses and successful ones of each (op, cf, key): of reads those that found a value, of all else every one."""
+    found = ~F.col("op").isin(*READS) | (F.coalesce(F.col("value_size"), F.lit(0)) > 0)
+    return trace.groupBy("op", "cf", "key").agg(F.count("*").alias("accesses"), F.count_if(found).alias("successes"))
+
+
+def key_size_distribution(trace: DataFrame, compat: bool = False) -> DataFrame:
+    """(op, key_size, keys, median): distinct keys by size, and the size of the middle key; compat: the smallest size as median."""
+    sizes = trace.select("op", "key").distinct().groupBy("op", F.octet_length(F.col("key").cast("string")).alias("key_size")).agg(F.count("*").alias("keys"))
+    upto = F.sum("keys").over(Window.partitionBy("op").orderBy("key_size"))
+    total = F.sum("keys").over(Window.partitionBy("op"))
+    reached = sizes.withColumn("at", F.when(upto >= (F.lit(0) if compat else total / 2), F.col("key_size")))
+    return reached.withColumn("median", F.min("at").over(Window.partitionBy("op"))).drop("at")
+
+
+def prefix_success(trace: DataFrame, width: int, compat: bool = False) -> DataFrame:
+    """Accesses, keys, accesses a key and success ratio by key prefix, from (op, key, value_size).
+
+    compat: a first row of a prefix 0 without accesses, and no row for the last prefix.
+    """
+    found = ~F.col("op").isin(*READS) | (F.coalesce(F.col("value_size"), F.lit(0)) > 0)
+    by = trace.groupBy(F.floor(F.col("key") / width).alias("prefix")).agg(F.count("*").alias("accesses"), F.count_distinct("key").alias("keys"), F.count_if(found).alias("successes"))
+    out = by.select("prefix", "accesses", "keys", F.round(F.col("accesses") / F.col("keys"), 6).alias("average"), F.round(F.col("successes") / F.col("accesses"), 6).alias("success"))
+    if not compat:
+        return out
+    last = by.agg(F.max("prefix").alias("last"))
+    dummy = trace.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("prefix"), F.lit(0).cast("bigint").alias("accesses"), F.lit(0).cast("bigint").alias("keys"), F.lit(0.0).alias("average"), F.lit(0.0).alias("success"))
+    return dummy.unionByName(out.join(F.broadcast(last)).where("prefix < last").drop("last"))
+
+
+def peak_and_average(trace: DataFrame, width: int = SECOND) -> DataFrame:
+    """(op, peak, average) records in a bucket, over all buckets between the first and the last record, and for op ``all``."""
+    per = rates(trace, width)
+    every = per.unionByName(per.groupBy("bucket").agg(F.sum("records").alias("records")).withColumn("op", F.lit("all")))
+    return every.groupBy("op").agg(F.max("records").alias("peak"), F.round(F.avg("records"), 6).alias("average"))
+
+
+def access_series(trace: DataFrame) -> DataFrame:
+    """(op, key_id, ts) of every access, with the key's rank within its op instead of the key."""
+    ids = trace.select("op", "key").distinct().withColumn("key_id", F.row_number().over(Window.partitionBy("op").orderBy("key")) - 1)
+    return trace.join(ids, ["op", "key"]).select("op", "key_id", "ts")
+
+
 def count_distribution(trace: DataFrame, ignore: int = 0) -> DataFrame:
     """How many keys of each op were accessed so many times; counts up to ``ignore`` are left out."""
     counts = trace.groupBy("op", "key").agg(F.count("*").alias("accesses")).where(F.col("accesses") > ignore)
@@ -94,5 +140,13 @@ def readable(trace: DataFrame) -> DataFrame:
 
 
 def replay(trace: DataFrame) -> DataFrame:
-    """The writes of a trace (op in PUT, MERGE, DEL) as log entries, numbered in time order by (ts, seqno)."""
-    return trace.where(F.col("op").isin("PUT", "MERGE", "DEL")).select("key", "seqno", "op", F.col("value_size").alias("value"))
+    """The writes of a trace as log entries, in time order by (ts, seqno); the value is the recorded one, if there is one, else its size."""
+    value = F.col("value") if "value" in trace.columns else F.col("value_size")
+    kept = ["key", "seqno", "op", *(["end_key"] if "end_key" in trace.columns else [])]
+    return trace.where(F.col("op").isin(*WRITES)).select(*kept, value.alias("value"))
+
+
+def replay_schedule(trace: DataFrame, speed: float = 1.0) -> DataFrame:
+    """The trace with ``due``, microseconds after the start of a replay at a multiple of the recorded speed."""
+    begin = trace.agg(F.min("ts").alias("begin"))
+    return trace.join(F.broadcast(begin)).withColumn("due", F.floor((F.col("ts") - F.col("begin")) / speed)).drop("begin")

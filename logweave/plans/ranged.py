@@ -37,3 +37,21 @@ def last_known(df: DataFrame, value: str, *order, name: str) -> DataFrame:
     ends = r.select("_range").distinct().join(ends, "_range", "left")
     carried = ends.select("_range", F.last("_end", ignorenulls=True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
     return own.join(F.broadcast(carried), "_range").withColumn(name, F.coalesce(name, "_carried")).drop("_range", "_carried")
+
+
+def _running(df: DataFrame, value: str, order, name: str, add, both) -> DataFrame:
+    r = ranged(df, *order)
+    parts = r.groupBy("_range").agg(add(value).alias("_part"))
+    before = parts.select("_range", add("_part").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    own = r.withColumn(name, add(value).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return own.join(F.broadcast(before), "_range").withColumn(name, both(F.col(name), F.col("_before"))).drop("_range", "_before")
+
+
+def running_max(df: DataFrame, value: str, *order, name: str) -> DataFrame:
+    """df with the largest value at or before each row in the total order."""
+    return _running(df, value, order, name, F.max, F.greatest)
+
+
+def running_sum(df: DataFrame, value: str, *order, name: str) -> DataFrame:
+    """df with the sum of the values up to each row, itself included, in the total order."""
+    return _running(df, value, order, name, F.sum, lambda own, before: own + F.coalesce(before, F.lit(0)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from logweave.functions import bytesops
@@ -239,16 +241,17 @@ def prepared_visibility(spark, d):
     return families.committed(log, commits, 2000).select("key", "seqno")
 
 
-@query("WITH l AS (SELECT o_orderkey AS txn, o_custkey AS lo, o_custkey + 1 + o_orderkey % 4 AS hi FROM orders WHERE o_orderkey % 7 = 0) SELECT a.txn AS a_txn, b.txn AS b_txn FROM l a JOIN l b ON a.txn < b.txn AND a.lo < b.hi AND b.lo < a.hi")
+@query("WITH l AS (SELECT o_orderkey AS txn, o_custkey AS lo, o_custkey + 1 + o_orderkey % 4 AS hi FROM orders) SELECT a.txn AS a_txn, b.txn AS b_txn FROM l a JOIN l b ON a.txn < b.txn AND a.lo < b.hi AND b.lo < a.hi")
 def lock_overlaps(spark, d):
-    locks = table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("txn"), F.col("o_custkey").alias("lo"), (F.col("o_custkey") + 1 + F.col("o_orderkey") % 4).alias("hi"))
+    locks = table(spark, d, "orders").select(F.col("o_orderkey").alias("txn"), F.col("o_custkey").alias("lo"), (F.col("o_custkey") + 1 + F.col("o_orderkey") % 4).alias("hi"))
     return families.lock_overlaps(locks, 4).select("a_txn", "b_txn")
 
 
-@query("WITH RECURSIVE w AS (SELECT DISTINCT o_custkey % 97 AS a, (o_custkey * 31 + 7) % 101 AS b FROM orders WHERE o_orderkey % 150 = 0), r(a, b) AS (SELECT a, b FROM w UNION SELECT r.a, w.b FROM r JOIN w ON r.b = w.a) SELECT DISTINCT a AS txn FROM r WHERE a = b")
+@query("WITH RECURSIVE n AS (SELECT count(*) AS n FROM customer), w AS (SELECT DISTINCT o_custkey AS a, (o_custkey * 31 + 7) % n AS b FROM orders, n), r(a, b) AS (SELECT a, b FROM w UNION SELECT r.a, w.b FROM r JOIN w ON r.b = w.a) SELECT DISTINCT a AS txn FROM r WHERE a = b")
 def deadlocks(spark, d):
-    waits = table(spark, d, "orders").where("o_orderkey % 150 = 0").select((F.col("o_custkey") % 97).alias("waiter"), ((F.col("o_custkey") * 31 + 7) % 101).alias("holder"))
-    return families.deadlocks(waits, 128)
+    n = table(spark, d, "customer").count()
+    waits = table(spark, d, "orders").select(F.col("o_custkey").alias("waiter"), ((F.col("o_custkey") * 31 + 7) % n).alias("holder"))
+    return families.deadlocks(waits)
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING'")
@@ -369,7 +372,7 @@ p AS (SELECT o_orderkey AS k, (row_number() OVER (ORDER BY o_orderkey) - 1) // {
 b AS (SELECT DISTINCT block, slot FROM slots JOIN p USING (k)),
 q AS (SELECT k + 100000000 AS k, block FROM p UNION ALL SELECT k, block FROM p),
 r AS (SELECT q.k, bool_and(b.slot IS NOT NULL) AS hit FROM q JOIN slots USING (k) LEFT JOIN b ON b.block = q.block AND b.slot = slots.slot GROUP BY q.k)
-SELECT k >= 100000000 AS foreign_key, count(*) AS asked, CAST(sum(CAST(hit AS INT)) AS BIGINT) AS positive FROM r GROUP BY 1"""
+SELECT k >= 100000000 AS foreign_key, count(*) AS asked, CAST(sum(CAST(hit AS INT)) AS BIGINT) AS positive, round(pow(1 - exp(-4 / 10.0::DOUBLE), 4), 9) AS theory FROM r GROUP BY 1"""
 )
 def bloom_fpr(spark, d):
     ordered = _blocks(spark, d)
@@ -377,7 +380,7 @@ def bloom_fpr(spark, d):
     own = ordered.select(F.floor(F.col("position") / _BLOCK).alias("block"), "key")
     asked = own.unionByName(own.withColumn("key", F.col("key") + 100_000_000))
     found = skipping.bloom_probe(filters, asked, _BLOCK, _BITS, _PROBES)
-    return found.groupBy((F.col("key") >= 100_000_000).alias("foreign_key")).agg(F.count("*").alias("asked"), F.sum(F.col("may_contain").cast("int")).alias("positive"))
+    return found.groupBy((F.col("key") >= 100_000_000).alias("foreign_key")).agg(F.count("*").alias("asked"), F.sum(F.col("may_contain").cast("int")).alias("positive"), F.lit(round((1 - math.exp(-_PROBES / _BITS)) ** _PROBES, 9)).alias("theory"))
 
 
 @query("SELECT strftime(o_orderdate, '%Y-%m') AS file, count(*) AS rows, min(o_orderkey) AS min_o_orderkey, max(o_orderkey) AS max_o_orderkey, min(o_totalprice) AS min_o_totalprice, max(o_totalprice) AS max_o_totalprice FROM orders GROUP BY 1 HAVING max(o_totalprice) >= 400000 AND min(o_totalprice) <= 500000")
