@@ -359,8 +359,14 @@ def tier_by_age(log: DataFrame, now: int, hot_seconds: int) -> DataFrame:
     return log.withColumn("tier", F.when(F.col("write_unix_time") >= now - hot_seconds, "hot").otherwise("cold"))
 
 
-def recovery_filter(log: DataFrame, ignore: Column, stop: Column) -> DataFrame:
-    """Entries that are taken over on recovery: those not ignored, before the first entry that stops it."""
+def recovery_filter(log: DataFrame, ignore: Column, stop: Column, corrupt: Column | None = None) -> DataFrame:
+    """Entries that are taken over on recovery: those not ignored, before the first entry that stops it.
+
+    An entry before that point for which corrupt holds is an error.
+    """
+    if corrupt is not None:
+        bad = F.raise_error(F.lit("the log is corrupt")).cast("string")
+        return recovery_filter(log, ignore, stop).withColumn("op", F.when(F.coalesce(corrupt, F.lit(False)), bad).otherwise(F.col("op")))
     first = log.where(stop).agg(F.min("seqno").alias("first"))
     return log.join(F.broadcast(first)).where((F.col("first").isNull() | (F.col("seqno") < F.col("first"))) & ~F.coalesce(ignore, F.lit(False))).drop("first")
 

@@ -25,9 +25,9 @@ def bloom_blocks(ordered: DataFrame, keys_per_block: int, bits_per_key: int, pro
     Bytes without a set bit are left out.
     """
     width = keys_per_block * bits_per_key
-    slots = ordered.select(F.floor(F.col("position") / keys_per_block).alias("block"), F.explode(bloom_slots(F.col("key"), width, probes)).alias("slot")).distinct()
+    slots = ordered.select(F.floor(F.col("position") / keys_per_block).alias("block"), F.explode(bloom_slots(F.col("key"), width, probes)).alias("slot"))
     bit = F.expr("shiftleft(1, CAST(slot % 8 AS INT))")
-    return slots.groupBy("block", F.floor(F.col("slot") / 8).alias("byte")).agg(F.sum(bit).cast("int").alias("bits"))
+    return slots.groupBy("block", F.floor(F.col("slot") / 8).alias("byte")).agg(F.bit_or(bit).alias("bits"))
 
 
 def bloom_probe(filters: DataFrame, asked: DataFrame, keys_per_block: int, bits_per_key: int, probes: int) -> DataFrame:
