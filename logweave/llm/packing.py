@@ -10,6 +10,7 @@ each other by cutting, and the last one is split at powers of two, which need no
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -34,13 +35,14 @@ def encoder(tokenizer: str, ranks: str | None) -> Callable[[str], np.ndarray]:
     which gives the same ids several times as fast.  Texts that hold the written form of
     a special token, and texts the rank file's encoder cannot take, go through the tokenizer itself.
     """
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_file(tokenizer)
-    special = [t.content for t in slow.get_added_tokens_decoder().values()]
+    made: list = []
 
     def by_tokenizer(text: str) -> np.ndarray:
-        return np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
+        if not made:  # few texts need it, and it takes tens of MB
+            from tokenizers import Tokenizer
+
+            made.append(Tokenizer.from_file(tokenizer))
+        return np.array(made[0].encode(text, add_special_tokens=False).ids, "<u4")
 
     if ranks is None:
         return by_tokenizer
@@ -49,6 +51,8 @@ def encoder(tokenizer: str, ranks: str | None) -> Callable[[str], np.ndarray]:
     import public_tokenizers
     import tiktoken
 
+    with open(tokenizer, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f).get("added_tokens", [])]
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
