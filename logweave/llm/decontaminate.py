@@ -44,8 +44,10 @@ COMMON = 512
 RIDGE = 50.0
 #: Items' passages that are searched for in one pass; a larger benchmark takes several, in the same space.
 ROUND = 1024
-#: Words of a greater idf, those in fewer than about 1 passage in 50, count as rare.
-RARE = float(np.log(50.0) + 1)
+#: Words of a greater idf, those in fewer than about 1 passage in 20, count as rare.
+RARE = float(np.log(20.0) + 1)
+#: Bytes of texts that are worked on at once.
+CHUNK = 1 << 19
 _SUMS = "at int, sums binary, n bigint"
 _LISTED = "kind int, pack binary, n bigint"
 _FOUND = "doc_id bigint, item_id bigint, cosine double, coverage double, answer double"
@@ -116,7 +118,7 @@ def _cut(w: tk.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sums_row(total: np.ndarray, n: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["at", "sums", "n"])
+    return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.ascontiguousarray(total, np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["at", "sums", "n"])
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,13 +196,13 @@ def _apply(idf: np.ndarray, block: np.ndarray, common: np.ndarray, part: int = 1
     Terms of ``common`` are counted for each passage and multiplied at once, the others added up.
     """
     weighted = (idf[:, None] * block).astype(np.float32)
-    idf = idf.astype(np.float32)
+    idf, width = idf.astype(np.float32), block.shape[1]
     place = np.full(TERMS, -1, np.int64)
     place[common] = np.arange(len(common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, any_ = np.zeros(block.shape, np.float32), False
-        of_common = np.zeros((len(common), block.shape[1]), np.float32)
+        total, any_ = np.zeros((TERMS, width), np.float32), False
+        of_common = np.zeros((len(common), width), np.float32)
         for batch in batches:
             for p in batch.column("pack"):
                 terms, lengths = unpack(p.as_py())
@@ -223,7 +225,8 @@ def _apply(idf: np.ndarray, block: np.ndarray, common: np.ndarray, part: int = 1
                     a, any_ = b, True
         if any_:
             total[common] += of_common
-            yield _sums_row((total * idf[:, None]).ravel(), 0)
+            total *= idf[:, None]
+            yield _sums_row(total.ravel(), 0)
 
     return run
 
@@ -270,11 +273,6 @@ class _RareWords:
         self.first = np.append(self.first, pairs.shape[1])
         self.item = pairs[1].astype(np.int64)
 
-    def may_share(self, place: np.ndarray, of_item: np.ndarray, n: int, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Whether the words lo to hi of n words, with these hits, hold enough of each item's rare words."""
-        places = np.sort(of_item * (n + 1) + place)
-        return np.searchsorted(places, item * (n + 1) + hi) - np.searchsorted(places, item * (n + 1) + lo) >= self.needed[item]
-
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, item) of every rare word of an item among the words h, by place."""
         if not len(self.words):
@@ -286,6 +284,28 @@ class _RareWords:
         return np.repeat(hit, some), self.item[np.repeat(self.first[at[hit]], some) + inner]
 
 
+def _rows_of(w: tk.Words, keep: np.ndarray) -> tk.Words:
+    """The words of some rows, as if the others were empty."""
+    counts = np.diff(w.first)
+    mine = np.repeat(keep, counts)
+    out = object.__new__(tk.Words)
+    out.buf, out.starts, out.ends, out.hashes = w.buf, w.starts[mine], w.ends[mine], w.hashes[mine]
+    out.first = np.concatenate([[0], np.cumsum(np.where(keep, counts, 0))])
+    return out
+
+
+def _able_rows(rare: _RareWords, first: np.ndarray, place: np.ndarray, of_item: np.ndarray, size: int = 1024) -> np.ndarray:
+    """Rows that hold enough rare words of any item, some rows at a time."""
+    n, rows = len(rare.needed), len(first) - 1
+    out, row = np.zeros(rows, bool), np.searchsorted(first, place, side="right") - 1
+    for a in range(0, rows, size):
+        b = min(rows, a + size)
+        h = slice(*np.searchsorted(row, [a, b]))
+        held = np.bincount((row[h] - a) * n + of_item[h], minlength=(b - a) * n).reshape(-1, n)
+        out[a:b] = (held >= rare.needed).any(axis=1)
+    return out
+
+
 def _candidates(w: tk.Words, fold: np.ndarray, sides: list[tuple[int, np.ndarray, np.ndarray]], rare: _RareWords, near: float) -> Iterator[tuple[np.ndarray, ...]]:
     """(row, first word, words, item, cosine) of windows near an item's passage, some thousand windows at a time.
 
@@ -295,7 +315,8 @@ def _candidates(w: tk.Words, fold: np.ndarray, sides: list[tuple[int, np.ndarray
     row_of = np.repeat(np.arange(len(heads) - 1), np.diff(heads))
     blocks = _piece_sums(fold, first, _terms(w.hashes), BLOCK)
     place, of_item = rare.hits(w.hashes)
-    row_hit = np.searchsorted(w.first, place, side="right") - 1
+    n, reach = len(w.hashes), rare.lengths
+    places, row_hit, items = np.sort(of_item * (n + 1) + place), np.searchsorted(w.first, place, side="right") - 1, len(rare.needed)
     for size, latent, item in sides:
         if not len(item):
             continue
@@ -308,15 +329,14 @@ def _candidates(w: tk.Words, fold: np.ndarray, sides: list[tuple[int, np.ndarray
             rows = row_of[a : a + 2048]
             low, high = int(rows[0]), int(rows[-1]) + 1
             h = slice(*np.searchsorted(row_hit, [low, high]))
-            n = len(rare.needed)
-            held = np.bincount((row_hit[h] - low) * n + of_item[h], minlength=(high - low) * n).reshape(-1, n) >= rare.needed
-            cos = windows[a : a + 2048] @ latent.T
-            at, p = np.nonzero((cos >= near) & held[rows - low][:, item])
+            held = np.bincount((row_hit[h] - low) * items + of_item[h], minlength=(high - low) * items).reshape(-1, items) >= rare.needed
+            at, p = np.nonzero((windows[a : a + 2048] @ latent.T >= near) & held[:, item][rows - low])
             row, start, i = row_of[a + at], first[a + at], item[p]
-            reach = rare.lengths[i]
-            able = rare.may_share(place[h], of_item[h], len(w.hashes), i, np.maximum(start - reach, w.first[row]), np.minimum(start + size * BLOCK + reach, w.first[row + 1]))
-            if able.any():
-                yield row[able], start[able], np.full(np.count_nonzero(able), size * BLOCK), i[able], cos[at, p][able]
+            lo, hi = np.maximum(start - reach[i], w.first[row]), np.minimum(start + size * BLOCK + reach[i], w.first[row + 1])
+            able = np.flatnonzero(np.searchsorted(places, i * (n + 1) + hi) - np.searchsorted(places, i * (n + 1) + lo) >= rare.needed[i])
+            if len(able):
+                cos = np.einsum("ij,ij->i", windows[a + at[able]], latent[p[able]])
+                yield row[able], start[able], np.full(len(able), size * BLOCK), i[able], cos
 
 
 def _find(items: Items, idf: np.ndarray, fold: np.ndarray, near: float, copied: float, paraphrased: float, answered: float):
@@ -361,9 +381,13 @@ def _find(items: Items, idf: np.ndarray, fold: np.ndarray, near: float, copied:
             found = []
             ids = tk.column(batch, "doc_id")
             buf, offsets = tk.utf8(tk.column(batch, "text"))
-            for a, b in tk.chunks(offsets):
+            for a, b in tk.chunks(offsets, CHUNK):
                 w = _words(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                if not len(w.starts):
+                keep = _able_rows(rare, w.first, *rare.hits(w.hashes))
+                if not keep.any():
+                    continue
+                w = _rows_of(w, keep)
+                if not len(w.hashes):
                     continue
                 parts = list(_candidates(w, fold, sides, rare, near))
                 if not parts:

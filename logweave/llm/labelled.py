@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logweave.llm import textkernel as tk
+from logweave.llm.small_side import bounded_batches
+
 
 def held_out_by_crc(doc_id, modulus: int, remainder: int):
     """True where crc32(doc_id as text) mod modulus is the remainder; a null id counts as empty text."""
@@ -20,6 +23,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, n
     or other than 0 and 1 are left out, several labels of one id count as their
     largest, and of several texts of one id the smallest is taken.
     """
+    bounded_batches(docs.sparkSession)
     marked = (
         labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~not_in(F.col("doc_id")))
@@ -37,4 +41,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, n
         .agg(F.min("text").alias("text"))
     )
     found = texts.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "y").toArrow()
-    return list(zip(found["text"].to_pylist(), found["y"].to_pylist(), strict=True))
+    sample = list(zip(found["text"].to_pylist(), found["y"].to_pylist(), strict=True))
+    del found
+    tk.release()
+    return sample

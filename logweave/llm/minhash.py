@@ -116,6 +116,7 @@ def signature(text: Column, k: int, bands: int = BANDS) -> Column:
     """Set size, 128-bit set digest, band keys and parity sketch of a text column; null is empty."""
 
     @F.arrow_udf(_FEATURES)
+    @tk.trimmed
     def features(texts: pa.Array) -> pa.Array:
         return _features(texts, k, bands)
 
@@ -134,6 +135,7 @@ def sketch_distance(a: bytes, b: bytes) -> int:
 
 def _may_link(num: int, den: int):
     @F.arrow_udf("boolean")
+    @tk.trimmed
     def test(na: pa.Array, nb: pa.Array, sa: pa.Array, sb: pa.Array) -> pa.Array:
         s = (na.to_numpy() + nb.to_numpy()) * (den - num)
         return pa.array([sketch_distance(a.as_py(), b.as_py()) * (den + num) <= x for a, b, x in zip(sa, sb, s.tolist(), strict=True)], pa.bool_())
@@ -145,6 +147,7 @@ def _linked(k: int, num: int, den: int):
     """Whether den * |A and B| >= num * |A or B| for the full shingle sets of two texts."""
 
     @F.arrow_udf("boolean")
+    @tk.trimmed
     def test(ta: pa.Array, tb: pa.Array) -> pa.Array:
         (ba, oa), (bb, ob) = tk.utf8(ta), tk.utf8(tb)
         out = np.zeros(len(ta), bool)

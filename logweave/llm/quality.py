@@ -58,6 +58,7 @@ class LinearModel:
         spec, weights, bias = self.spec, self.weights, self.bias
 
         @F.arrow_udf("double")
+        @tk.trimmed
         def scored(texts: pa.Array) -> pa.Array:
             buf, offsets = tk.utf8(texts)
             return pa.array(sigmoid(dot_rows(buf, offsets, spec, weights) + bias))

@@ -10,7 +10,7 @@ from logweave.plans.scratch import written
 #: A side of at most so many narrow rows (ids and small numbers) is broadcast.
 BROADCAST_ROWS = 400_000
 #: Bytes of texts that go to a Python worker at once, and rows that are folded into one in a round.
-BATCH_BYTES, FAN = 6 << 20, 16
+BATCH_BYTES, FAN = 4 << 20, 16
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

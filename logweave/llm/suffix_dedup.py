@@ -53,7 +53,7 @@ _INDEX = U64((1 << 24) - 1)
 HOT = 20_000
 _HOT_BIT = U64(1 << 63)
 #: Bytes whose anchors are found at once.
-_SPAN = 1 << 20
+_SPAN = 1 << 19
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -173,7 +173,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]
         buf, offsets = tk.utf8(tk.column(batch, "text"))
         doc = tk.int64s(tk.column(batch, "doc_id"), _NULL_ID)
         version = tk.int64s(tk.column(batch, "version"))
-        for a, b in tk.chunks(offsets, 8 << 20):
+        for a, b in tk.chunks(offsets, 4 << 20):
             yield buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], doc[a:b], version[a:b]
 
 

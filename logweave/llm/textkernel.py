@@ -10,13 +10,14 @@ the length of a batch or of one text.
 from __future__ import annotations
 
 import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 U64 = np.uint64
 _MULT = U64(0x9E3779B97F4A7C15)
@@ -27,8 +28,16 @@ _S30, _S27, _S31 = U64(30), U64(27), U64(31)
 _BYTE = None
 
 
+#: mallopt's numbers: free memory at the heap's end that is kept, the size from which memory is mapped, and the number of arenas.
+_M_TRIM_THRESHOLD, _M_MMAP_THRESHOLD, _M_ARENA_MAX = -1, -3, -8
+
 try:
-    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+    _libc = ctypes.CDLL("libc.so.6")
+    _trim = _libc.malloc_trim
+    _libc.mallopt(_M_TRIM_THRESHOLD, 16 << 20)
+    _libc.mallopt(_M_MMAP_THRESHOLD, 16 << 20)
+    _libc.mallopt(_M_ARENA_MAX, 1)
+    pa.set_memory_pool(pa.system_memory_pool())
 except (OSError, AttributeError):  # another C library: it keeps what is freed
 
     def _trim(_: int) -> int:
@@ -53,6 +62,18 @@ def tidy(run: Callable) -> Callable:
     return wrapped
 
 
+def trimmed(run: Callable) -> Callable:
+    """A function of columns that releases memory after each batch."""
+
+    @functools.wraps(run)
+    def wrapped(*columns):
+        out = run(*columns)
+        release()
+        return out
+
+    return wrapped
+
+
 def lowered(buf: np.ndarray) -> np.ndarray:
     """The bytes with A-Z in lower case."""
     return buf + ((buf - np.uint8(65)) < 26) * np.uint8(32)

@@ -112,7 +112,9 @@ def fit_counterfactual(
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, not_in, label: str = "toxic", sample_rows: int = 6000, penalty: float = 1.0) -> LinearModel:
     """A model of ``labels[label]`` fitted on at most ``sample_rows`` labelled texts and their swapped copies."""
-    return fit_counterfactual(training_sample(docs, labels, label, sample_rows, not_in), penalty=penalty)
+    model = fit_counterfactual(training_sample(docs, labels, label, sample_rows, not_in), penalty=penalty)
+    tk.release()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: LinearModel, threshold: float = 0.3, text: str = "text") -> DataFrame:
