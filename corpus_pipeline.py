@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.llm import textkernel as tk
 from logweave.llm.decontaminate import find_leaks
 from logweave.llm.minhash import near_duplicates
 from logweave.llm.packing import pack
@@ -47,6 +48,7 @@ def strike_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
 
     @F.arrow_udf("string")
+    @tk.trimmed
     def whole_characters(kept: pa.Array) -> pa.Array:
         return pa.array([b.as_py().decode("utf-8", "ignore") for b in kept], pa.string())
 
