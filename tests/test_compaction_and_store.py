@@ -59,6 +59,7 @@ def test_query_of_absent_below_has_files_for_all_keys(spark, tmp_path):
     kinds = ["error", "click", "view", "error", "signup"]
     rows = [(i, i, key, kinds[(i * 7 + i // 11) % 5], 1.5, '{"k": 1}') for i, key in enumerate([*range(-60, 60), *range(19_990, 20_090), *range(5_000_000, 5_000_060)] * 3)]
     spark.createDataFrame(rows, "event_id bigint, t bigint, user_id bigint, event_type string, value double, props string").withColumn("ts", F.timestamp_seconds("t")).drop("t").write.parquet(str(tmp_path / "events.parquet"))
+    spark.range(2_000).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
     db = duckdb.connect()
     db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     want = sorted(db.sql(catalogue.ORACLE_SQL["drop_absent_below"]).fetchall())
