@@ -1,3 +1,5 @@
+import random
+
 from logweave.operators import families, index, resolve, scan, trace
 from logweave.streaming import cdc
 from pyspark.sql import functions as F
@@ -37,6 +39,50 @@ def test_empty_inputs(spark):
     assert families.deadlocks(spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "waiter bigint, holder bigint")).count() == 2
 
 
+WAITS = "waiter bigint, holder bigint"
+
+
+def on_cycles(rows):
+    out, to = set(), {}
+    for a, b in rows:
+        to.setdefault(a, set()).add(b)
+    for a in to:
+        seen, stack = set(), [a]
+        while stack:
+            for b in to.get(stack.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    stack.append(b)
+        out |= {a} & seen
+    return out
+
+
+def test_deadlocks_against_a_search(spark):
+    """Components joined by paths of single waiters, cycles of these, self-waits, ends, and nulls, at several densities."""
+    rnd, rows = random.Random(3), [(None, 5), (5, None), (7, 7), (7, 8)]
+    for base, n, m in ((1_000, 60, 60), (2_000, 60, 75), (3_000, 50, 110)):
+        rows += [(base + rnd.randrange(n), base + rnd.randrange(n)) for _ in range(m)]
+    rows += [(4_000 + i, 4_000 + (i + 1) % 40) for i in range(40)] + [(4_007, 4_003), (4_020, 4_050), (4_050, 4_051), (4_060, 4_011)]
+    got = [r.txn for r in families.deadlocks(spark.createDataFrame(rows, WAITS), trims=1).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == on_cycles([r for r in rows if None not in r])
+
+
+def test_deadlocks_write_few_rows_for_long_cycles(spark, monkeypatch):
+    """A cycle of 400 and a path of 400: not all pairs of it, and no round for each edge."""
+    made, write = [], families.written
+
+    def counted(df, name="table"):
+        out = write(df, name)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(families, "written", counted)
+    rows = [(i, (i + 1) % 400) for i in range(400)] + [(1_000 + i, 1_001 + i) for i in range(400)]
+    assert {r.txn for r in families.deadlocks(spark.createDataFrame(rows, WAITS)).collect()} == set(range(400))
+    assert sum(made) < 16_000 and len(made) < 20
+
+
 def test_probing_all_lists_is_exact(spark):
     v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     centroids = v.where("vec_id < 4").select(F.col("vec_id").alias("list_id"), F.col("embedding").alias("centroid"))
