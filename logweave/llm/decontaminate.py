@@ -163,9 +163,12 @@ def _list_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row(1, df.astype(np.float32).tobytes(), n)
 
 
-def _piece_sums(values: np.ndarray, first: np.ndarray, term: np.ndarray, size: int) -> np.ndarray:
-    """Sum of the values of each piece's terms; pieces of the full size, most of all, by one product."""
-    ends = np.append(first[1:], len(term))
+def _piece_sums(values: np.ndarray, first: np.ndarray, term: np.ndarray, size: int, ends: np.ndarray | None = None) -> np.ndarray:
+    """Sum of the values of each piece's terms; pieces of the full size, most of all, by one product.
+
+    A piece ends where the next begins, unless ``ends`` says otherwise.
+    """
+    ends = np.append(first[1:], len(term)) if ends is None else ends
     out = np.empty((len(first), values.shape[1]), np.float32)
     full = np.flatnonzero(ends - first == size)
     ones = np.ones((1, size), np.float32)
@@ -294,49 +297,74 @@ def _rows_of(w: tk.Words, keep: np.ndarray) -> tk.Words:
     return out
 
 
-def _able_rows(rare: _RareWords, first: np.ndarray, place: np.ndarray, of_item: np.ndarray, size: int = 1024) -> np.ndarray:
-    """Rows that hold enough rare words of any item, some rows at a time."""
+def _able_pairs(rare: _RareWords, first: np.ndarray, place: np.ndarray, of_item: np.ndarray, size: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """(row, item) where a row holds enough rare words of an item, in order, some rows at a time."""
     n, rows = len(rare.needed), len(first) - 1
-    out, row = np.zeros(rows, bool), np.searchsorted(first, place, side="right") - 1
+    row, out = np.searchsorted(first, place, side="right") - 1, [np.zeros((2, 0), np.int64)]
     for a in range(0, rows, size):
         b = min(rows, a + size)
         h = slice(*np.searchsorted(row, [a, b]))
         held = np.bincount((row[h] - a) * n + of_item[h], minlength=(b - a) * n).reshape(-1, n)
-        out[a:b] = (held >= rare.needed).any(axis=1)
-    return out
+        r, i = np.nonzero(held >= rare.needed)
+        out.append(np.stack([r + a, i]))
+    return tuple(np.concatenate(out, axis=1))
+
 
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The index of each count as often as it says, and 0, 1, ... within each."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
 
-def _candidates(w: tk.Words, fold: np.ndarray, sides: list[tuple[int, np.ndarray, np.ndarray]], rare: _RareWords, near: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, first word, words, item, cosine) of windows near an item's passage, some thousand windows at a time.
 
-    Those that hold too few of an item's rare words for a leak are left out at once.
+def _slices(counts: np.ndarray, most: int) -> Iterator[slice]:
+    """Ranges of the counts that add up to at most ``most``, or hold one."""
+    ends, a = np.cumsum(counts), 0
+    while a < len(counts):
+        b = max(a + 1, int(np.searchsorted(ends, (int(ends[a - 1]) if a else 0) + most, side="right")))
+        yield slice(a, b)
+        a = b
+
+
+def _candidates(w: tk.Words, fold: np.ndarray, sides: list[tuple[int, np.ndarray, np.ndarray]], rare: _RareWords, near: float, pairs: tuple[np.ndarray, np.ndarray], hits: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, first word, words, item, cosine) of windows near an item's passage.
+
+    pairs are those rows and items that ``_able_pairs`` leaves.  Of them, only windows around which
+    enough of the item's rare words stand are folded in; the others cannot hold a leak.
     """
     first, heads = _cut(w, BLOCK)
-    row_of = np.repeat(np.arange(len(heads) - 1), np.diff(heads))
-    blocks = _piece_sums(fold, first, _terms(w.hashes), BLOCK)
-    place, of_item = rare.hits(w.hashes)
-    n, reach = len(w.hashes), rare.lengths
-    places, row_hit, items = np.sort(of_item * (n + 1) + place), np.searchsorted(w.first, place, side="right") - 1, len(rare.needed)
+    n, reach, ends = len(w.hashes), rare.lengths, np.append(first[1:], len(w.hashes))
+    place, of_item = hits
+    places, terms = np.sort(of_item * (n + 1) + place), _terms(w.hashes)
     for size, latent, item in sides:
-        if not len(item):
-            continue
-        windows = blocks.copy()
-        for j in range(1, size):
-            same = np.flatnonzero(row_of[:-j] == row_of[j:]) if len(first) > j else np.zeros(0, np.int64)
-            windows[same] += blocks[same + j]
-        windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-12)
-        for a in range(0, len(windows), 2048):
-            rows = row_of[a : a + 2048]
-            low, high = int(rows[0]), int(rows[-1]) + 1
-            h = slice(*np.searchsorted(row_hit, [low, high]))
-            held = np.bincount((row_hit[h] - low) * items + of_item[h], minlength=(high - low) * items).reshape(-1, items) >= rare.needed
-            at, p = np.nonzero((windows[a : a + 2048] @ latent.T >= near) & held[:, item][rows - low])
-            row, start, i = row_of[a + at], first[a + at], item[p]
-            lo, hi = np.maximum(start - reach[i], w.first[row]), np.minimum(start + size * BLOCK + reach[i], w.first[row + 1])
+        order = np.argsort(item, kind="stable")
+        begin = np.searchsorted(item[order], np.arange(len(rare.needed) + 1))
+        passages = np.diff(begin)
+        rows, items = (x[passages[pairs[1]] > 0] for x in pairs)
+        blocks = np.diff(heads)[rows]
+        for some in _slices(blocks, 1 << 16):
+            of, within = _spread(blocks[some])
+            row, i = rows[some][of], items[some][of]
+            at = heads[row] + within
+            lo, hi = np.maximum(first[at] - reach[i], w.first[row]), np.minimum(first[at] + size * BLOCK + reach[i], w.first[row + 1])
             able = np.flatnonzero(np.searchsorted(places, i * (n + 1) + hi) - np.searchsorted(places, i * (n + 1) + lo) >= rare.needed[i])
-            if len(able):
-                cos = np.einsum("ij,ij->i", windows[a + at[able]], latent[p[able]])
-                yield row[able], start[able], np.full(len(able), size * BLOCK), i[able], cos
+            for part in _slices(passages[i[able]], 1 << 13):
+                here = able[part]
+                which, window = np.unique(at[here], return_inverse=True)
+                last = heads[np.searchsorted(heads, which, side="right")]  # the end of the window's row
+                used = np.unique(np.concatenate([np.minimum(which + j, last - 1) for j in range(size)]))
+                sums = _piece_sums(fold, first[used], terms, BLOCK, ends[used])
+                windows = sums[np.searchsorted(used, which)]
+                for j in range(1, size):
+                    more = np.flatnonzero(which + j < last)
+                    windows[more] += sums[np.searchsorted(used, which[more] + j)]
+                windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-12)
+                k, inner = _spread(passages[i[here]])
+                p = order[begin[i[here]][k] + inner]
+                cos = np.concatenate([np.einsum("ij,ij->i", windows[window[k[a : a + 8192]]], latent[p[a : a + 8192]]) for a in range(0, len(k), 8192)])
+                near_ = np.flatnonzero(cos >= near)
+                if len(near_):
+                    found = here[k[near_]]
+                    yield row[found], first[at[found]], np.full(len(found), size * BLOCK), i[found], cos[near_]
 
 
 def _find(items: Items, idf: np.ndarray, fold: np.ndarray, near: float, copied: float, paraphrased: float, answered: float):
@@ -383,13 +411,13 @@ def _find(items: Items, idf: np.ndarray, fold: np.ndarray, near: float, copied:
             buf, offsets = tk.utf8(tk.column(batch, "text"))
             for a, b in tk.chunks(offsets, CHUNK):
                 w = _words(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                keep = _able_rows(rare, w.first, *rare.hits(w.hashes))
-                if not keep.any():
-                    continue
+                pairs = _able_pairs(rare, w.first, *rare.hits(w.hashes))
+                keep = np.zeros(b - a, bool)
+                keep[pairs[0]] = True
                 w = _rows_of(w, keep)
                 if not len(w.hashes):
                     continue
-                parts = list(_candidates(w, fold, sides, rare, near))
+                parts = list(_candidates(w, fold, sides, rare, near, pairs, rare.hits(w.hashes)))
                 if not parts:
                     continue
                 row, start, size, item, cos = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -442,6 +470,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, near: float = 0.3, copied:
     out = spark.createDataFrame([], _FOUND)
     if items.ids:
         idf, fold = space or latent_space(texts)
+        tk.release()  # of the driver, after the decomposition
         for part in _rounds(items, ROUND):
             out = out.unionByName(texts.mapInArrow(tk.tidy(_find(part, idf, fold, near, copied, paraphrased, answered)), _FOUND))
     return out

@@ -135,3 +135,22 @@ def test_the_latent_space_finds_what_words_alone_miss(spark):
     assert fold.shape[1] <= dc.RANK
     a, b = a / np.where(idf > 0, idf, 1) @ fold, b / np.where(idf > 0, idf, 1) @ fold
     assert a @ b / np.linalg.norm(a) / np.linalg.norm(b) > 0.3
+
+
+def test_only_windows_that_can_hold_an_item_are_folded_in(monkeypatch):
+    """One copy in a text of 6,000 other words: the windows around it are folded in, not all of the text."""
+    item, filler = [" ".join(f"{kind}{i}" for i in range(n)) for kind, n in (("q", 40), ("w", 3_000))]
+    items = dc._items([{"item_id": 3, "text": item}], False)
+    fold = np.random.default_rng(1).normal(size=(dc.TERMS, 16)).astype(np.float32)
+    pieces, sums = [], dc._piece_sums
+
+    def counted(values, first, *rest):
+        pieces.append(len(first))
+        return sums(values, first, *rest)
+
+    monkeypatch.setattr(dc, "_piece_sums", counted)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [7, 8], "text": [f"{filler} {item} {filler}", filler]})
+    find = dc._find(items, np.full(dc.TERMS, 9.0), fold, 0.3, 0.8, 0.6, 0.5)
+    found = [r for b in find(iter([batch])) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["item_id"], r["coverage"]) for r in found] == [(7, 3, 1.0)]
+    assert sum(pieces) < 40
