@@ -75,30 +75,34 @@ def fit_counterfactual(
     swapped = [swap_identity(t, i, terms) for i, t in enumerate(texts)]
     changed = [i for i, (a, b) in enumerate(zip(texts, swapped, strict=True)) if a != b]
 
-    def features(strings: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def features(strings: list[str]) -> list[tuple[np.ndarray, np.ndarray | None]]:
         buf, offsets = tk.utf8(pa.array(strings, pa.large_string()))
         out = []
         for idx, val in rows_of(buf, offsets, spec):
             u, back = np.unique(idx, return_inverse=True)
-            v = np.bincount(back, weights=val, minlength=len(u))
-            out.append((u, np.minimum(v, 1.0) if spec.presence else v))
+            out.append((u.astype(np.int32), None if spec.presence else np.bincount(back, weights=val, minlength=len(u))))  # of presence all values are 1
         return out
 
+    def values(row: tuple[np.ndarray, np.ndarray | None]) -> np.ndarray:
+        return np.ones(len(row[0])) if row[1] is None else row[1]
+
     rows = features(texts)
     twins = dict(zip(changed, features([swapped[i] for i in changed]), strict=True))
+    del texts, swapped
+    tk.release()
     model, bias = FTRL(size, alpha=alpha, l1=l1, l2=l2), FTRL(1, alpha=alpha)
     scale = np.where(ys == 1, len(ys) / (2 * n1), len(ys) / (2 * n0))
     zero = np.zeros(1, np.int64)
     for _ in range(epochs):
-        for i, ((idx, val), y, c) in enumerate(zip(rows, ys, scale, strict=True)):
-            twin = twins.get(i)
+        for i, (row, y, c) in enumerate(zip(rows, ys, scale, strict=True)):
+            twin, idx, val = twins.get(i), row[0], values(row)
             if twin is None:
                 u, v, dv = idx, val, None
             else:
                 u = np.union1d(idx, twin[0])
                 v, v2 = np.zeros(len(u)), np.zeros(len(u))
                 v[np.searchsorted(u, idx)] = val
-                v2[np.searchsorted(u, twin[0])] = twin[1]
+                v2[np.searchsorted(u, twin[0])] = values(twin)
                 dv = v - v2
             w, b = model.weights(u), bias.weights()
             g = c * (sigmoid(w @ v + b[0]) - y)
