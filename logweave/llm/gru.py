@@ -89,54 +89,77 @@ class Grid:
 
 
 class _Cell:
-    """The recurrence, with the signs of both gates turned so that a gate is 1 / (1 + exp(x))."""
+    """The recurrence, with the signs of both gates turned so that a gate is 1 / (1 + exp(x)).
+
+    Reset gate, update gate and candidate are blocks of their own (3, cells, hidden), so that a step works on whole
+    runs of memory.
+    """
 
     def __init__(self, p: Params, start: int):
-        self.hidden, self.start = p["inner"].shape[0], start
-        sign = np.ones(3 * self.hidden, F32)
-        sign[: 2 * self.hidden] = -1
-        self.inner, self.inputs = p["inner"] * sign, p["inputs"] * sign
+        self.hidden, self.start, self.inputs = p["inner"].shape[0], start, p["inputs"]
+        self.inner = _by_gate(p["inner"])
+        self.inner[:2] *= -1
 
     def run(self, h: np.ndarray, x: np.ndarray, active: list[int], keep: bool):
         """States of all cells from state h; with ``keep`` also (state before, r, z, n, candidate's inner part) of each."""
-        two = 2 * self.hidden
-        a = self.inputs[x]
-        fresh = x == self.start
-        states = np.empty((len(x), self.hidden), F32)
-        kept = [np.empty_like(states) for _ in range(5)] if keep else None
-        at = 0
-        for n in active:
-            cells = slice(at, at + n)
-            at += n
-            h = h[:n]
-            if fresh[cells].any():
-                h = np.where(fresh[cells, None], F32(0), h)
-            u = h @ self.inner
-            gates = a[cells, :two]
-            gates += u[:, :two]
-            np.minimum(gates, 60, out=gates)
-            np.exp(gates, out=gates)
-            gates += 1
-            np.reciprocal(gates, out=gates)
-            r, z = gates[:, : self.hidden], gates[:, self.hidden :]
-            un = u[:, two:]
-            c = r * un
-            c += a[cells, two:]
-            np.tanh(c, out=c)
-            if keep:
-                for full, part in zip(kept, (h, r, z, c, un), strict=True):
-                    full[cells] = part
-            new = h - c
-            new *= z
-            new += c
-            states[cells] = h = new
-        return states, h, kept
-
-
-def _exp_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(x - m) in place of x, and m: the row maxima where a value is large, else 0."""
-    m = np.zeros((len(x), 1), F32)
-    if len(x) and (x.max() > 60 or x.min() < -60):
+        kind, size = self.inner.dtype, self.hidden
+        a = np.empty((3, len(x), size), kind)
+        for k in range(3):
+            np.take(self.inputs[:, k * size : (k + 1) * size], x, axis=0, out=a[k], mode="clip")
+        np.negative(a[:2], out=a[:2])
+        u = np.empty_like(a)
+        states, n = np.empty(a.shape[1:], kind), np.empty(a.shape[1:], kind)
+        before = np.empty_like(states) if keep else None
+        fresh = np.flatnonzero(x == self.start)
+        ends = np.cumsum(active)
+        heads = np.searchsorted(fresh, np.concatenate([[0], ends])).tolist()
+        at, h = 0, h.astype(kind)
+        with np.errstate(over="ignore"):  # 1 / (1 + inf) is the 0 that is meant
+            for i, end in enumerate(ends.tolist()):
+                h = h[: end - at]
+                begun = fresh[heads[i] : heads[i + 1]]
+                if keep:
+                    before[at:end] = h
+                    h = before[at:end]
+                elif len(begun):
+                    h = h.copy()
+                if len(begun):
+                    h[begun - at] = 0
+                own = u[:, at:end]
+                np.matmul(h, self.inner, out=own)
+                gates, c, new = own[:2], n[at:end], states[at:end]
+                gates += a[:2, at:end]
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                np.multiply(own[0], own[2], out=c)
+                c += a[2, at:end]
+                c *= -2  # tanh(c) = 2 / (1 + exp(-2c)) - 1
+                np.exp(c, out=c)
+                c += 1
+                np.divide(2, c, out=c)
+                c -= 1
+                np.subtract(h, c, out=new)
+                new *= own[1]
+                new += c
+                h, at = new, end
+        return states, h, (before, u[0], u[1], n, u[2]) if keep else None
+
+
+def _by_gate(x: np.ndarray) -> np.ndarray:
+    """(rows, 3 * hidden) as contiguous blocks (3, rows, hidden)."""
+    return np.ascontiguousarray(x.reshape(len(x), 3, -1).transpose(1, 0, 2))
+
+
+def _bounds(words: np.ndarray, bias: np.ndarray) -> list[bool]:
+    """Whether a class's values can be large for states, which lie in -1 to 1."""
+    return ((np.abs(words).sum(-1) + np.abs(bias)).max(axis=-1) > 60).tolist()
+
+
+def _exp_rows(x: np.ndarray, large: bool) -> tuple[np.ndarray, np.ndarray | float]:
+    """exp(x - m) in place of x, and m: the row maxima where a value may be large, else 0."""
+    m = F32(0)
+    if large and len(x):
         m = x.max(axis=1, keepdims=True)
         x -= m
     np.exp(x, out=x)
@@ -150,6 +173,7 @@ class _Scorer:
         self.classes = np.concatenate([p["classes"], p["class_bias"][None]])
         self.words = np.concatenate([p["words"].transpose(0, 2, 1), p["word_bias"][:, None]], axis=1)
         self.ones = np.ones(max(self.classes.shape[1], self.words.shape[2]), F32)
+        self.large, self.large_class = _bounds(p["words"], p["word_bias"]), any(_bounds(p["classes"].T[None], p["class_bias"][None]))
 
     def __call__(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         members = self.words.shape[2]
@@ -159,18 +183,18 @@ class _Scorer:
         full = np.ones((len(states), states.shape[1] + 1), F32)
         full[:, :-1] = states[order]
         cls, member = cls[order], member[order]
-        out = self._picked(full @ self.classes, cls)
+        out = self._picked(full @ self.classes, cls, self.large_class)
         for c in np.flatnonzero(np.diff(heads)).tolist():
             r = slice(heads[c], heads[c + 1])
-            out[r] += self._picked(full[r] @ self.words[c], member[r])
+            out[r] += self._picked(full[r] @ self.words[c], member[r], self.large[c])
         back = np.empty_like(out)
         back[order] = out
         return back
 
-    def _picked(self, x: np.ndarray, column: np.ndarray) -> np.ndarray:
+    def _picked(self, x: np.ndarray, column: np.ndarray, large: bool) -> np.ndarray:
         mine = x[np.arange(len(x)), column]
-        e, m = _exp_rows(x)
-        return mine - (m[:, 0] + np.log(e @ self.ones[: e.shape[1]]))
+        e, m = _exp_rows(x, large)
+        return mine - (np.ravel(m) + np.log(e @ self.ones[: e.shape[1]]))
 
 
 def log_probabilities(p: Params, symbols: np.ndarray, heads: np.ndarray, width: int = 256, cells: int = 32_768) -> np.ndarray:
@@ -195,14 +219,15 @@ def _outputs(p: Params, states: np.ndarray, targets: np.ndarray, grads: Params)
     heads = np.searchsorted(cls[order], np.arange(classes + 1))
     states, cls, member = states[order], cls[order], member[order]
     rows, ones = np.arange(len(targets)), np.ones(max(classes, members), F32)
+    large, large_class = _bounds(p["words"], p["word_bias"]), any(_bounds(p["classes"].T[None], p["class_bias"][None]))
 
-    def errors(x: np.ndarray, column: np.ndarray) -> np.ndarray:
-        e, _ = _exp_rows(x)
+    def errors(x: np.ndarray, column: np.ndarray, large: bool) -> np.ndarray:
+        e, _ = _exp_rows(x, large)
         e *= (1 / (e @ ones[: e.shape[1]]))[:, None]
         e[rows[: len(e)], column] -= 1
         return e
 
-    dc = errors(states @ p["classes"] + p["class_bias"], cls)
+    dc = errors(states @ p["classes"] + p["class_bias"], cls, large_class)
     grads["classes"] += states.T @ dc
     rows_one = np.ones(len(targets), F32)
     grads["class_bias"] += rows_one @ dc
@@ -210,7 +235,7 @@ def _outputs(p: Params, states: np.ndarray, targets: np.ndarray, grads: Params)
     for c in np.flatnonzero(np.diff(heads)).tolist():
         r = slice(heads[c], heads[c + 1])
         s, words = states[r], p["words"][c]
-        dw = errors(s @ words.T + p["word_bias"][c], member[r])
+        dw = errors(s @ words.T + p["word_bias"][c], member[r], large[c])
         grads["words"][c] += dw.T @ s
         grads["word_bias"][c] += rows_one[: len(dw)] @ dw
         d[r] += dw @ words
@@ -257,7 +282,6 @@ class Trainer:
         """One pass over the documents; a long one is learnt from in parts of ``longest`` symbols, side by side."""
         p = self.p
         start, hidden = len(p["inputs"]) - 1, p["inner"].shape[0]
-        two = 2 * hidden
         grid = Grid(symbols, _cut(heads, longest), start, width)
         h = np.zeros((grid.lanes, hidden), F32)
         for a, b in grid.windows(steps):
@@ -266,29 +290,32 @@ class Trainer:
             states, h, (before, r, z, n, un) = _Cell(p, start).run(h, x, active, True)
             grads = {k: np.zeros_like(v) for k, v in p.items() if k != "inputs"}
             back = _outputs(p, states, y, grads)
-            for_n = (1 - z) * (1 - n * n)
-            for_z = (before - n) * z * (1 - z)
-            for_r = un * r * (1 - r)
-            dx, du = (np.empty((len(x), 3 * hidden), F32) for _ in range(2))
-            inner, fresh = p["inner"].T.copy(), x == start
+            slopes = np.empty((3, *n.shape), n.dtype)  # of r, z and n
+            np.multiply(1 - z, 1 - n * n, out=slopes[2])
+            np.multiply((before - n) * z, 1 - z, out=slopes[1])
+            np.multiply(un * r, 1 - r, out=slopes[0])
+            slopes[0] *= slopes[2]
+            dx, du = np.empty_like(slopes), np.empty_like(slopes)
+            inner, fresh = _by_gate(p["inner"]).transpose(0, 2, 1).copy(), x == start
+            starts = np.add.accumulate([0, *active])
+            some = np.add.reduceat(fresh, starts[:-1]).tolist()
             carry = np.zeros((active[-1], hidden), F32)
             at = len(x)
-            for count in reversed(active):
-                cells = slice(at - count, at)
-                at -= count
-                dh = back[cells]
+            for i in range(len(active) - 1, -1, -1):
+                cells = slice(at - active[i], at)
+                at -= active[i]
+                dh, d, own = back[cells], dx[:, cells], du[:, cells]
                 dh[: len(carry)] += carry
-                dn = dh * for_n[cells]
-                dx[cells, :hidden] = dn * for_r[cells]
-                dx[cells, hidden:two] = dh * for_z[cells]
-                dx[cells, two:] = dn
-                du[cells, :two] = dx[cells, :two]
-                du[cells, two:] = dn * r[cells]
+                np.multiply(dh, slopes[:, cells], out=d)
+                own[:2] = d[:2]
+                np.multiply(d[2], r[cells], out=own[2])
                 carry = dh * z[cells]
-                carry += du[cells] @ inner
-                if fresh[cells].any():
+                for part in np.matmul(own, inner):
+                    carry += part
+                if some[i]:
                     carry[fresh[cells]] = 0
-            grads["inner"] += before.T @ du
+            grads["inner"] += np.matmul(before.T, du).transpose(1, 0, 2).reshape(hidden, -1)
+            dx = dx.transpose(1, 0, 2).reshape(len(x), -1)
             scale = F32(1 / max(len(x), 1))
             order = np.argsort(x.astype(np.uint16) if start < 65_536 else x, kind="stable")
             ids, first = np.unique(x[order], return_index=True)
