@@ -467,10 +467,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, near: float = 0.3, copied:
     has_answer = "answer" in benchmark.columns
     asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", *(["answer"] if has_answer else []))
     items = _items(sorted(asked.collect(), key=lambda x: (x["item_id"] is None, x["item_id"] or 0, x["text"] or "")), has_answer)
-    out = spark.createDataFrame([], _FOUND)
+    out = None
     if items.ids:
         idf, fold = space or latent_space(texts)
         tk.release()  # of the driver, after the decomposition
         for part in _rounds(items, ROUND):
-            out = out.unionByName(texts.mapInArrow(tk.tidy(_find(part, idf, fold, near, copied, paraphrased, answered)), _FOUND))
-    return out
+            found = texts.mapInArrow(tk.tidy(_find(part, idf, fold, near, copied, paraphrased, answered)), _FOUND)
+            out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], _FOUND) if out is None else out  # never joined to others: its rows would come from Python workers of another kind

@@ -442,7 +442,7 @@ def _compare_windows(plan: Plan, buckets: int):
     return run
 
 
-def _strike_out(with_text: bool):
+def _strike_out(with_text: bool, characters: bool):
     """Covered ranges and texts of a document bucket to what is left of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,10 +461,11 @@ def _strike_out(with_text: bool):
                     spans = len(starts)
                     edges = zip([0, *stops.tolist()], [*starts.tolist(), b - a], strict=True)
                     kept = b"".join(kept[x:y] for x, y in edges)
-                rows.append((None if d == _NULL_ID else d, b - a, b - a - len(kept), spans, hashlib.sha256(kept).hexdigest(), v, met[d, v], bytes(kept) if with_text else None))
+                left = bytes(kept) if with_text else None
+                rows.append((None if d == _NULL_ID else d, b - a, b - a - len(kept), spans, hashlib.sha256(kept).hexdigest(), v, met[d, v], left.decode("utf-8", "ignore") if with_text and characters else left))
                 met[d, v] += 1
             columns = list(zip(*rows, strict=True))
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.int64(), pa.binary()]
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.int64(), pa.string() if characters else pa.binary()]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "version", "copy", "kept"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -476,13 +477,14 @@ def text_version(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False, hot: int = HOT, characters: bool = False) -> DataFrame:
     """What is left of every document without its repeated ``length``-byte strings.
 
     docs has doc_id (integer) and text.  Returns doc_id, n_bytes, n_removed, n_spans
     (maximal removed runs), kept_sha256 (lowercase hex), version (``text_version``), copy
     (numbers rows of equal id and text from 0) and, if asked for, kept (the remaining bytes;
-    else null).
+    else null).  With characters, kept is a string: of a character of which some bytes go, the
+    others go too.
     One row for each row of docs.  Null and empty texts have no bytes; texts shorter than
     ``length`` lose none.  Rows without a doc_id count as one document that comes first,
     and so do rows that repeat a doc_id: a string is not earlier than itself.  Other
@@ -512,5 +514,5 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False,
     cut = written(with_texts(settled.where("kind = 1")).mapInArrow(tk.tidy(_cut_suffixes(plan, buckets)), schema), "runs")
     compared = met(cut.where("kind = 2"), _compare_windows).unionByName(met(cut.where("kind = 1"), _settle_windows))
     covered = listed.where("kind = 0").unionByName(settled.where("kind = 0")).unionByName(cut.where("kind = 0")).unionByName(written(compared, "windows"))
-    out = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, version bigint, copy bigint, kept binary"
-    return with_texts(covered).mapInArrow(tk.tidy(_strike_out(with_text)), out)
+    out = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, version bigint, copy bigint, kept " + ("string" if characters else "binary")
+    return with_texts(covered).mapInArrow(tk.tidy(_strike_out(with_text, characters)), out)

@@ -5,6 +5,7 @@ import pytest
 import test_minhash as near_cases
 import test_packing as packing_cases
 import test_suffix_dedup as suffix_cases
+from logweave.llm.decontaminate import find_leaks
 from logweave.plans.scratch import written
 
 DIR = "/root/testdata/sf0.001"
@@ -79,3 +80,16 @@ def test_odd_rows_in_every_stage(spark, tmp_path):
     assert sorted(r.doc_id for r in kept if r.doc_id in (4, 5)) == [4, 5]
     assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).columns == docs.columns
     assert {r.doc_id for r in corpus_pipeline.pack_windows(spark, docs, str(tmp_path)).collect()} == {1, 2, 3, 4, 5, None}
+
+
+def test_a_task_holds_one_python_worker(spark, tmp_path):
+    """Each step that runs in Python by itself takes a worker of its own (about 100 MB that stay), and rows made in Python a further kind."""
+    rest = "".join(map(chr, range(0x101, 0x13D)))
+    docs = written(spark.createDataFrame([(1, "\u0100" + rest, "en", "s", 61), (2, "x\u0140" + rest, "en", "s", 62)], "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    spark.createDataFrame([(1, "a passage of the benchmark that nobody holds")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    struck = corpus_pipeline.strike_repeats(spark, docs, str(tmp_path))
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in struck.collect()) == [(1, "\u0100" + rest, 61), (2, "x", 1)]  # \u0100 and \u0140 share their second byte
+    assert "MapInArrow" in plan(struck) and "ArrowEvalPython" not in plan(struck)
+    found = find_leaks(docs, spark.read.parquet(str(tmp_path / "benchmark.parquet")))
+    assert "MapInArrow" in plan(found) and "ExistingRDD" not in plan(found)
