@@ -39,22 +39,28 @@ PASSAGE, SHORT_WORDS = BLOCK * LONG, 28
 TERM_BITS, RANK, EXTRA = 14, 96, 16
 TERMS = 1 << TERM_BITS
 #: Terms in the most passages, which are multiplied together.
-COMMON = 512
+COMMON = 256
 #: Squared singular values are taken as larger by this (a number of passages), so that directions of few passages are not blown up.
 RIDGE = 50.0
 #: Items' passages that are searched for in one pass; a larger benchmark takes several, in the same space.
 ROUND = 1024
 #: Words of a greater idf, those in fewer than about 1 passage in 20, count as rare.
 RARE = float(np.log(20.0) + 1)
+#: Leading bits of a word's hash by which most words that no item holds are told.
+SEEN_BITS = 18
+#: Leading bits of a word's hash by which an item's words are counted before it is compared; blocks that are counted together.
+SLOT_BITS, SPAN = 12, 16
 #: Bytes of texts that are worked on at once.
 CHUNK = 1 << 19
+#: Bytes of words in lower case, a space for every other.
+_SPACED = np.where(_NOT_WORD, np.uint8(32), tk.lowered(np.arange(256, dtype=np.uint8))).tobytes()
 _SUMS = "at int, sums binary, n bigint"
 _LISTED = "kind int, pack binary, n bigint"
 _FOUND = "doc_id bigint, item_id bigint, cosine double, coverage double, answer double"
 
 
 def _words(buf: np.ndarray, offsets: np.ndarray) -> tk.Words:
-    return tk.Words(np.where(_NOT_WORD[buf], np.uint8(32), buf), offsets)
+    return tk.Words(np.frombuffer(buf.tobytes().translate(_SPACED), np.uint8), offsets, lower=False)
 
 
 def _terms(hashes: np.ndarray) -> np.ndarray:
@@ -163,43 +169,46 @@ def _list_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row(1, df.astype(np.float32).tobytes(), n)
 
 
-def _piece_sums(values: np.ndarray, first: np.ndarray, term: np.ndarray, size: int, ends: np.ndarray | None = None) -> np.ndarray:
-    """Sum of the values of each piece's terms; pieces of the full size, most of all, by one product.
-
-    A piece ends where the next begins, unless ``ends`` says otherwise.
-    """
-    ends = np.append(first[1:], len(term)) if ends is None else ends
-    out = np.empty((len(first), values.shape[1]), np.float32)
-    full = np.flatnonzero(ends - first == size)
-    ones = np.ones((1, size), np.float32)
-    for a in range(0, len(full), max(1, 8192 // size)):
-        at = full[a : a + max(1, 8192 // size)]
-        out[at] = np.matmul(ones, values[term[first[at][:, None] + np.arange(size)]])[:, 0]
-    for i in np.flatnonzero(ends - first != size).tolist():
-        out[i] = values[term[first[i] : ends[i]]].sum(0)
+def _run_sums(source: np.ndarray, rows: np.ndarray, heads: np.ndarray, counts: np.ndarray, most: int = 2048) -> np.ndarray:
+    """Sum of source[rows[h : h + c]] for each head h and count c, in one product for ``most`` rows of runs of one length."""
+    out = np.zeros((len(heads), source.shape[1]), np.float32)
+    order = np.argsort(counts, kind="stable")
+    edges = np.flatnonzero(np.diff(counts[order], prepend=-1, append=-1))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        size = int(counts[order[a]])
+        step, ones = max(1, most // max(1, size)), np.ones((1, size), np.float32)
+        for c in range(a, b if size else a, step):
+            at = order[c : min(b, c + step)]
+            out[at] = np.matmul(ones, source[rows[heads[at][:, None] + np.arange(size)]])[:, 0]
     return out
 
 
-def _add_rows(total: np.ndarray, ids: np.ndarray, rows: np.ndarray, source: np.ndarray) -> None:
-    """total[ids] += source[rows], with ids sorted and repeated, one occurrence of each at a time."""
-    heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(heads, len(ids)))
-    k = 0
-    while len(heads):
-        at = heads + k
-        total[ids[at]] += source[rows[at]]
-        k += 1
-        more = counts > k
-        heads, counts = heads[more], counts[more]
+def _piece_sums(values: np.ndarray, first: np.ndarray, term: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sum of the values of each piece's terms."""
+    return _run_sums(values, term, first, ends - first)
+
+
+def _add_rows(total: np.ndarray, ids: np.ndarray, rows: np.ndarray, source: np.ndarray, run: int = 16) -> None:
+    """total[ids] += source[rows], with ids sorted and repeated; of each id, ``run`` rows are made one until fewer are left."""
+    while len(ids):
+        heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        counts = np.diff(np.append(heads, len(ids)))
+        whole, rest = counts // run, counts % run
+        some = np.flatnonzero(rest)
+        total[ids[heads[some]]] += _run_sums(source, rows, (heads + whole * run)[some], rest[some])
+        of, within = _spread(whole)
+        source = _run_sums(source, rows, heads[of] + within * run, np.full(len(of), run))
+        ids, rows = ids[heads[of]], np.arange(len(of))
 
 
-def _apply(idf: np.ndarray, block: np.ndarray, common: np.ndarray, part: int = 16_384):
-    """Packs of terms to the sum of A'A block over a task's passages, a few thousand words at a time.
+def _apply(idf: np.ndarray, block: np.ndarray, common: np.ndarray, most: int = 4096):
+    """Packs of terms to the sum of A'A block over a task's passages, ``most`` passages at a time.
 
-    Terms of ``common`` are counted for each passage and multiplied at once, the others added up.
+    Terms of ``common`` are counted for each passage and multiplied at once, both ways, the others added up.
     """
     weighted = (idf[:, None] * block).astype(np.float32)
     idf, width = idf.astype(np.float32), block.shape[1]
+    squares = idf**2
     place = np.full(TERMS, -1, np.int64)
     place[common] = np.arange(len(common))
 
@@ -210,22 +219,20 @@ def _apply(idf: np.ndarray, block: np.ndarray, common: np.ndarray, part: int = 1
             for p in batch.column("pack"):
                 terms, lengths = unpack(p.as_py())
                 ends = np.cumsum(lengths.astype(np.int64))
-                a = 0
-                while a < len(ends):
-                    low = int(ends[a - 1]) if a else 0
-                    b = max(a + 1, int(np.searchsorted(ends, low + part, side="right")))
+                for a in range(0, len(ends), most):
+                    b, low = min(len(ends), a + most), int(ends[a - 1]) if a else 0
                     t, size = terms[low : ends[b - 1]], lengths[a:b].astype(np.int64)
-                    heads = np.cumsum(size) - size
-                    y = _piece_sums(weighted, heads, t, PASSAGE)
-                    y /= np.add.reduceat(idf[t] ** 2, heads)[:, None]
                     passage, slot = np.repeat(np.arange(b - a), size), place[t]
                     known = slot >= 0
-                    counts = np.bincount(passage[known] * len(common) + slot[known], minlength=(b - a) * len(common))
-                    of_common += counts.reshape(b - a, len(common)).astype(np.float32).T @ y
-                    t, passage = t[~known], passage[~known]
-                    order = np.argsort(t, kind="stable")
-                    _add_rows(total, t[order], passage[order], y)
-                    a, any_ = b, True
+                    counts = np.bincount(passage[known] * len(common) + slot[known], minlength=(b - a) * len(common)).reshape(b - a, len(common)).astype(np.float32)
+                    rare, passage = t[~known].astype(np.int64), passage[~known]
+                    some = np.bincount(passage, minlength=b - a)
+                    y = counts @ weighted[common] + _run_sums(weighted, rare, np.cumsum(some) - some, some)
+                    y /= np.add.reduceat(squares[t], np.cumsum(size) - size)[:, None]
+                    of_common += counts.T @ y
+                    order = np.argsort(t[~known], kind="stable")
+                    _add_rows(total, rare[order], passage[order], y)
+                    any_ = True
         if any_:
             total[common] += of_common
             total *= idf[:, None]
@@ -270,44 +277,110 @@ class _RareWords:
     def __init__(self, items: Items, idf: np.ndarray, share: float):
         rare = [w[idf[_terms(w)] > RARE] for w in items.words]
         self.lengths = np.array([len(w) for w in items.words])
-        self.needed = np.array([len(r) - (1 - share) * len(w) for r, w in zip(rare, items.words, strict=True)])
+        needed = np.array([len(r) - (1 - share) * len(w) for r, w in zip(rare, items.words, strict=True)])
+        self.needed = np.maximum(np.ceil(needed - 1e-9), 0).astype(np.int64)
         pairs = np.unique(np.stack([np.concatenate(rare), np.repeat(np.arange(len(rare)), [len(r) for r in rare]).astype(np.uint64)]), axis=1) if rare else np.zeros((2, 0), np.uint64)
         self.words, self.first = np.unique(pairs[0], return_index=True)
         self.first = np.append(self.first, pairs.shape[1])
         self.item = pairs[1].astype(np.int64)
+        self.seen = np.zeros(1 << SEEN_BITS, bool)
+        self.seen[self._short(self.words)] = True
+
+    @staticmethod
+    def _short(h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - SEEN_BITS)).view(np.int64)
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, item) of every rare word of an item among the words h, by place."""
         if not len(self.words):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        hit = np.flatnonzero(self.words[at] == h)
-        some = self.first[at[hit] + 1] - self.first[at[hit]]
-        inner = np.arange(int(some.sum())) - np.repeat(np.cumsum(some) - some, some)
-        return np.repeat(hit, some), self.item[np.repeat(self.first[at[hit]], some) + inner]
-
-
-def _rows_of(w: tk.Words, keep: np.ndarray) -> tk.Words:
-    """The words of some rows, as if the others were empty."""
-    counts = np.diff(w.first)
-    mine = np.repeat(keep, counts)
-    out = object.__new__(tk.Words)
-    out.buf, out.starts, out.ends, out.hashes = w.buf, w.starts[mine], w.ends[mine], w.hashes[mine]
-    out.first = np.concatenate([[0], np.cumsum(np.where(keep, counts, 0))])
-    return out
-
-
-def _able_pairs(rare: _RareWords, first: np.ndarray, place: np.ndarray, of_item: np.ndarray, size: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """(row, item) where a row holds enough rare words of an item, in order, some rows at a time."""
-    n, rows = len(rare.needed), len(first) - 1
-    row, out = np.searchsorted(first, place, side="right") - 1, [np.zeros((2, 0), np.int64)]
-    for a in range(0, rows, size):
-        b = min(rows, a + size)
-        h = slice(*np.searchsorted(row, [a, b]))
-        held = np.bincount((row[h] - a) * n + of_item[h], minlength=(b - a) * n).reshape(-1, n)
-        r, i = np.nonzero(held >= rare.needed)
-        out.append(np.stack([r + a, i]))
-    return tuple(np.concatenate(out, axis=1))
+        maybe = np.flatnonzero(self.seen[self._short(h)])  # few words go on to the search
+        at = np.minimum(np.searchsorted(self.words, h[maybe]), len(self.words) - 1)
+        right = np.flatnonzero(self.words[at] == h[maybe])
+        hit, at = maybe[right], at[right]
+        of, inner = _spread(self.first[at + 1] - self.first[at])
+        return hit[of], self.item[self.first[at][of] + inner]
+
+
+class _AnyWords:
+    """A bound on common subsequences by all words of an item, told apart by ``SLOT_BITS`` of their hashes: no text shares
+    more of an item's words than the sum, over its slots, of the words in the text, up to those in the item."""
+
+    def __init__(self, items: Items, share: float):
+        slots = [np.unique(self._short(w), return_counts=True) for w in items.words]
+        self.least = np.array([share * len(w) for w in items.words]) - 1e-9
+        self.of = np.full((len(slots), 1 << SLOT_BITS), -1, np.int16)
+        for of, (slot, _) in zip(self.of, slots, strict=True):
+            of[slot] = np.arange(len(slot))
+        self.counts = np.concatenate([c for _, c in slots])
+        self.first = np.cumsum([0] + [len(c) for _, c in slots])
+
+    @staticmethod
+    def _short(h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+
+    def enough(self, h: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether the words low to high of h can hold the share of the item, for each of the items."""
+        out = np.zeros(len(item), bool)
+        for part in _slices(high - low, 1 << 17):
+            i = item[part]
+            of, within = _spread(high[part] - low[part])
+            slot = self.of.ravel()[i[of] * self.of.shape[1] + self._short(h[low[part][of] + within])]
+            hit = np.flatnonzero(slot >= 0)
+            slots = self.first[i + 1] - self.first[i]
+            begin = np.cumsum(slots) - slots
+            held = np.bincount(begin[of[hit]] + slot[hit], minlength=int(slots.sum()))
+            of, within = _spread(slots)
+            out[part] = np.add.reduceat(np.minimum(held, self.counts[self.first[i][of] + within]), begin) >= self.least[i]
+        return out
+
+
+def _able_runs(first: np.ndarray, rare: _RareWords, place: np.ndarray, of_item: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(item, row, first place, last place) of as many rare words of an item, one after the other in a row, as it needs.
+
+    By item, row and place.  Those too far apart for any window are left out, as are items that need none.
+    """
+    of, at = of_item[rare.needed[of_item] > 0], place[rare.needed[of_item] > 0]
+    order = np.argsort(of * (int(first[-1]) + 1) + at)
+    of, at = of[order], at[order]
+    begin = np.arange(len(of))
+    end = np.minimum(begin + rare.needed[of] - 1, max(len(of) - 1, 0))
+    begin = np.flatnonzero((end - begin == rare.needed[of] - 1) & (of[end] == of) & (at[end] - at < BLOCK * LONG + 2 * rare.lengths[of]))
+    end = end[begin]
+    row = np.searchsorted(first, at[begin], side="right") - 1
+    same = at[end] < first[row + 1]
+    return of[begin[same]], row[same], at[begin[same]], at[end[same]]
+
+
+def _able_spans(w: tk.Words, heads: np.ndarray, size: int, rare: _RareWords, any_: _AnyWords, runs: tuple[np.ndarray, ...], mine: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(item, row, first block, blocks) of the windows of ``size`` blocks around which enough of an item's words stand.
+
+    Words around a window are those up to the item's length away.  First there must be as many rare
+    words as the item needs; of windows next to each other, up to ``SPAN``, the words are then counted
+    together.  No window of an item is there twice; an item that needs no rare words, if it is one
+    of ``mine``, has all windows of all rows to begin with.
+    """
+    item, row, low, high = runs
+    base, reach, blocks = w.first[row], rare.lengths[item], np.diff(heads)
+    begin = np.maximum((high - size * BLOCK - reach - base) // BLOCK + 1, 0)
+    end = np.minimum((low + reach - base) // BLOCK + 1, blocks[row])
+    again = np.flatnonzero((item[1:] == item[:-1]) & (row[1:] == row[:-1])) + 1
+    begin[again] = np.maximum(begin[again], end[again - 1])
+    some = np.flatnonzero((begin < end) & mine[item])
+    item, row, begin, end = (x[some] for x in (item, row, begin, end))
+    apart = np.ones(len(item), bool)
+    apart[1:] = (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (begin[1:] != end[:-1])
+    edges = np.flatnonzero(apart)
+    end = end[np.append(edges[1:], len(item))[: len(edges)] - 1]
+    free = np.flatnonzero(mine & (rare.needed == 0))
+    item, row = np.concatenate([item[edges], np.repeat(free, len(blocks))]), np.concatenate([row[edges], np.tile(np.arange(len(blocks)), len(free))])
+    begin, end = np.concatenate([begin[edges], np.zeros(len(free) * len(blocks), np.int64)]), np.concatenate([end, np.tile(blocks, len(free))])
+    of, within = _spread(-((begin - end) // SPAN))
+    item, row, begin, end = item[of], row[of], begin[of] + within * SPAN, np.minimum(begin[of] + (within + 1) * SPAN, end[of])
+    low = np.maximum(w.first[row] + begin * BLOCK - rare.lengths[item], w.first[row])
+    high = np.minimum(w.first[row] + (end - 1 + size) * BLOCK + rare.lengths[item], w.first[row + 1])
+    some = any_.enough(w.hashes, item, low, high)
+    return item[some], row[some], (heads[row] + begin)[some], (end - begin)[some]
 
 
 def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -325,51 +398,47 @@ def _slices(counts: np.ndarray, most: int) -> Iterator[slice]:
         a = b
 
 
-def _candidates(w: tk.Words, fold: np.ndarray, sides: list[tuple[int, np.ndarray, np.ndarray]], rare: _RareWords, near: float, pairs: tuple[np.ndarray, np.ndarray], hits: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+def _candidates(w: tk.Words, fold: np.ndarray, sides: list[tuple[int, np.ndarray, np.ndarray]], rare: _RareWords, any_: _AnyWords, near: float) -> Iterator[tuple[np.ndarray, ...]]:
     """(row, first word, words, item, cosine) of windows near an item's passage.
 
-    pairs are those rows and items that ``_able_pairs`` leaves.  Of them, only windows around which
-    enough of the item's rare words stand are folded in; the others cannot hold a leak.
+    Only windows around which enough of the item's words stand are folded in; the others cannot
+    hold a leak.
     """
     first, heads = _cut(w, BLOCK)
-    n, reach, ends = len(w.hashes), rare.lengths, np.append(first[1:], len(w.hashes))
-    place, of_item = hits
-    places, terms = np.sort(of_item * (n + 1) + place), _terms(w.hashes)
+    ends = np.append(first[1:], len(w.hashes))
+    runs = _able_runs(w.first, rare, *rare.hits(w.hashes))
     for size, latent, item in sides:
         order = np.argsort(item, kind="stable")
         begin = np.searchsorted(item[order], np.arange(len(rare.needed) + 1))
         passages = np.diff(begin)
-        rows, items = (x[passages[pairs[1]] > 0] for x in pairs)
-        blocks = np.diff(heads)[rows]
-        for some in _slices(blocks, 1 << 16):
-            of, within = _spread(blocks[some])
-            row, i = rows[some][of], items[some][of]
-            at = heads[row] + within
-            lo, hi = np.maximum(first[at] - reach[i], w.first[row]), np.minimum(first[at] + size * BLOCK + reach[i], w.first[row + 1])
-            able = np.flatnonzero(np.searchsorted(places, i * (n + 1) + hi) - np.searchsorted(places, i * (n + 1) + lo) >= rare.needed[i])
-            for part in _slices(passages[i[able]], 1 << 13):
-                here = able[part]
-                which, window = np.unique(at[here], return_inverse=True)
-                last = heads[np.searchsorted(heads, which, side="right")]  # the end of the window's row
-                used = np.unique(np.concatenate([np.minimum(which + j, last - 1) for j in range(size)]))
-                sums = _piece_sums(fold, first[used], terms, BLOCK, ends[used])
-                windows = sums[np.searchsorted(used, which)]
-                for j in range(1, size):
-                    more = np.flatnonzero(which + j < last)
-                    windows[more] += sums[np.searchsorted(used, which[more] + j)]
-                windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-12)
-                k, inner = _spread(passages[i[here]])
-                p = order[begin[i[here]][k] + inner]
-                cos = np.concatenate([np.einsum("ij,ij->i", windows[window[k[a : a + 8192]]], latent[p[a : a + 8192]]) for a in range(0, len(k), 8192)])
-                near_ = np.flatnonzero(cos >= near)
-                if len(near_):
-                    found = here[k[near_]]
-                    yield row[found], first[at[found]], np.full(len(found), size * BLOCK), i[found], cos[near_]
+        of_item, of_row, head, count = _able_spans(w, heads, size, rare, any_, runs, passages > 0)
+        for part in _slices(count * passages[of_item], 1 << 13):
+            of, within = _spread(count[part])
+            at, i, row = head[part][of] + within, of_item[part][of], of_row[part][of]
+            which, window = np.unique(at, return_inverse=True)
+            last = heads[np.searchsorted(heads, which, side="right")]  # the end of the window's row
+            used = np.unique(np.concatenate([np.minimum(which + j, last - 1) for j in range(size)]))
+            words = ends[used] - first[used]
+            of, within = _spread(words)
+            edges = np.cumsum(words)
+            sums = _piece_sums(fold, edges - words, _terms(w.hashes[first[used][of] + within]), edges)
+            windows = sums[np.searchsorted(used, which)]
+            for j in range(1, size):
+                more = np.flatnonzero(which + j < last)
+                windows[more] += sums[np.searchsorted(used, which[more] + j)]
+            windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-12)
+            k, inner = _spread(passages[i])
+            p = order[begin[i][k] + inner]
+            cos = np.concatenate([np.einsum("ij,ij->i", windows[window[k[a : a + 8192]]], latent[p[a : a + 8192]]) for a in range(0, len(k), 8192)])
+            near_ = np.flatnonzero(cos >= near)
+            if len(near_):
+                found = k[near_]
+                yield row[found], first[at[found]], np.full(len(found), size * BLOCK), i[found], cos[near_]
 
 
 def _find(items: Items, idf: np.ndarray, fold: np.ndarray, near: float, copied: float, paraphrased: float, answered: float):
     item_of, passages = items.passages()
-    rare = _RareWords(items, idf, paraphrased)
+    rare, any_ = _RareWords(items, idf, paraphrased), _AnyWords(items, paraphrased)
     latent, item_of = fold_in(passages, fold), np.array(item_of)
     short = np.array([len(p) <= SHORT_WORDS for p in passages])
     sides = [(size, latent[mine], item_of[mine]) for size, mine in ((SHORT, short), (LONG, ~short))]
@@ -411,13 +480,9 @@ def _find(items: Items, idf: np.ndarray, fold: np.ndarray, near: float, copied:
             buf, offsets = tk.utf8(tk.column(batch, "text"))
             for a, b in tk.chunks(offsets, CHUNK):
                 w = _words(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                pairs = _able_pairs(rare, w.first, *rare.hits(w.hashes))
-                keep = np.zeros(b - a, bool)
-                keep[pairs[0]] = True
-                w = _rows_of(w, keep)
                 if not len(w.hashes):
                     continue
-                parts = list(_candidates(w, fold, sides, rare, near, pairs, rare.hits(w.hashes)))
+                parts = list(_candidates(w, fold, sides, rare, any_, near))
                 if not parts:
                     continue
                 row, start, size, item, cos = (np.concatenate(c) for c in zip(*parts, strict=True))

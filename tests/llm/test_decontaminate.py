@@ -154,3 +154,66 @@ def test_only_windows_that_can_hold_an_item_are_folded_in(monkeypatch):
     found = [r for b in find(iter([batch])) for r in b.to_pylist()]
     assert [(r["doc_id"], r["item_id"], r["coverage"]) for r in found] == [(7, 3, 1.0)]
     assert sum(pieces) < 40
+
+
+def found_in(texts, items, idf, near=0.3):
+    """(doc_id, item_id) of texts by _find alone, with a random space."""
+    fold = np.random.default_rng(1).normal(size=(dc.TERMS, 16)).astype(np.float32)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    find = dc._find(dc._items([{"item_id": i, "text": t} for i, t in enumerate(items)], False), idf, fold, near, 0.8, 0.6, 0.5)
+    return {(r["doc_id"], r["item_id"]) for b in find(iter([batch])) for r in b.to_pylist()}
+
+
+def test_words_that_repeat_do_not_make_windows_able(monkeypatch):
+    """A text that says one of an item's rare words 60 times holds no more of the item; none of its windows is folded in."""
+    item, filler = [" ".join(f"{kind}{i}" for i in range(n)) for kind, n in (("q", 40), ("w", 500))]
+    pieces, sums = [], dc._piece_sums
+    monkeypatch.setattr(dc, "_piece_sums", lambda values, first, *rest: pieces.append(len(first)) or sums(values, first, *rest))
+    idf = np.full(dc.TERMS, 9.0)
+    assert found_in([f"{filler} {'q7 ' * 60}{filler}", filler], [item], idf) == set()
+    assert sum(pieces) == 0
+    assert found_in([f"{filler} {'q7 ' * 60}{filler} {item}"], [item], idf) == {(0, 0)}
+    assert 0 < sum(pieces) < 40
+
+
+def test_every_window_is_checked_as_by_brute_force():
+    """Few distinct words, items with rare words, with some and with none, rows of any length."""
+    rnd = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(40)]
+    items = [[rnd.choice(vocabulary) for _ in range(n)] for n in (1, 5, 12, 28, 30, 47, 48, 49, 110)] + [[rnd.choice(vocabulary[:6]) for _ in range(20)]]
+    texts = []
+    for n in (0, 1, 15, 16, 17, 60, 200, 333, *range(40, 64)):
+        text = [rnd.choice(vocabulary) for _ in range(n)]
+        part = [x for x in rnd.choice(items) if rnd.random() < 0.7]
+        at = rnd.randrange(n + 1)
+        texts.append(text[:at] + part + text[at:])
+    for rare in (40, 20, 0):
+        idf = np.ones(dc.TERMS)
+        for v in vocabulary[40 - rare :]:
+            idf[dc._terms(dc._words(*tk.utf8(pa.array([v]))).hashes)] = 9.0
+        want = set()
+        for d, text in enumerate(texts):
+            for i, item in enumerate(items):
+                n, size = len(item), 16 * (2 if len(item) <= 28 else 3)
+                spans = {(max(0, s - n), s + size + n) for s in range(0, len(text), 16)}
+                if any(plain_lcs(item, text[a:b]) / n >= 0.6 for a, b in spans):
+                    want.add((d, i))
+        got = found_in([" ".join(t) for t in texts], [" ".join(t) for t in items], idf, near=-2.0)
+        assert 20 < len(want) < len(texts) * len(items) and got == want
+
+
+def test_a_subspace_step_is_the_product_by_the_dense_matrix():
+    rnd = np.random.default_rng(3)
+    lengths = rnd.integers(1, 49, 300).astype(np.uint8)
+    terms = np.minimum(rnd.zipf(1.3, int(lengths.sum())), dc.TERMS).astype(np.uint16) - np.uint16(1)
+    idf, block = rnd.uniform(1, 9, dc.TERMS), rnd.normal(size=(dc.TERMS, 5)).astype(np.float32)
+    a = np.zeros((len(lengths), dc.TERMS))
+    np.add.at(a, (np.repeat(np.arange(len(lengths)), lengths), terms), 1)
+    scale = np.add.reduceat(idf[terms] ** 2, np.cumsum(lengths.astype(int)) - lengths)
+    a *= idf
+    want = a.T @ ((a @ block) / scale[:, None])
+    batch = pa.RecordBatch.from_pydict({"pack": [dc.pack(terms, lengths)]})
+    for common in (np.arange(0), np.arange(8), np.arange(256)):
+        for most in (7, 300):
+            got = [np.frombuffer(r["sums"], np.float32) for b in dc._apply(idf, block, common, most)(iter([batch])) for r in b.to_pylist()]
+            assert len(got) == 1 and np.allclose(got[0].reshape(want.shape), want, rtol=1e-3, atol=1e-3 * np.abs(want).max())
