@@ -11,9 +11,9 @@ divided by their singular values as far as many passages stand behind these: els
 that tell languages and common words apart would outweigh the rest.  Items of the benchmark
 have no part in that space; they are cut into passages and folded in like any text.
 
-The last pass folds in every window of a document, compares it with all items' passages
-by cosine, and checks candidates by the longest common subsequence of words and, where
-the benchmark gives one, by the item's answer.
+The last pass folds in the windows of a document around which enough words of an item stand,
+compares them with its passages by cosine, and checks candidates by the longest common
+subsequence of words and, where the benchmark gives one, by the item's answer.
 """
 
 from __future__ import annotations
